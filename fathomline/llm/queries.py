@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from fathomline.llm import capping, site_lines
+from fathomline.llm import capping, encoding, leakage, near_dups, site_lines
 
 QUERIES = {
     "p3_found": site_lines.p3_found,
     "p6_found": capping.p6_found,
+    "p7_found": near_dups.p7_found,
+    "p7_groups": near_dups.p7_groups,
+    "p8_ids": encoding.p8_ids,
+    "p9_found": leakage.p9_found,
+    "p9_leaked_items": leakage.p9_leaked_items,
 }
 
 ORACLE_SQL = {
