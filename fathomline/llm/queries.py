@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fathomline.llm import capping, encoding, leakage, near_dups, site_lines
+from fathomline.llm import capping, encoding, keyword_spam, leakage, near_dups, residue, site_lines
 
 QUERIES = {
+    "p2_found": residue.p2_found,
     "p3_found": site_lines.p3_found,
+    "p5_found": keyword_spam.p5_found,
     "p6_found": capping.p6_found,
     "p7_found": near_dups.p7_found,
     "p7_groups": near_dups.p7_groups,
