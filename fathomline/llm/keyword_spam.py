@@ -125,11 +125,11 @@ class SpamModel:
         return (listed or stuffed) and not self.other(title, content)
 
 
-def spam_model(residue):
-    """The model for production, given the residue models that tell filler."""
+def spam_model(residue, prose: list[str] = ()):
+    """The model for production, given the residue models that tell filler and errors, and sample prose."""
     from fathomline.llm.page_lines import LineModel
 
-    lines = LineModel()
+    lines = LineModel(prose)
 
     def furniture(x: str) -> bool:
         score, shape = lines.score(x)
@@ -150,7 +150,7 @@ def spam_pages(pages: DataFrame, prose: list[str]) -> DataFrame:
 
         from fathomline.llm.residue import ResidueModels
 
-        model = spam_model(ResidueModels(shared.value))
+        model = spam_model(ResidueModels(shared.value), shared.value)
         for b in batches:
             ids = [i for i, t, c in zip(*(b.column(k).to_pylist() for k in range(3))) if model.is_spam(t, c)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], ["id"])

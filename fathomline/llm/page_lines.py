@@ -68,12 +68,10 @@ deze pagina vervangt geen advies van een vakman.|de mening van de schrijver is n
 © 0 @. todos los derechos reservados.|@ – aviso legal – privacidad – condiciones|© 0 @. todos os direitos reservados.|@ – aviso legal – privacidade – condições|© 0 @. alle rechten voorbehouden.|@ – colofon – privacy – voorwaarden
 back to top|nach oben|haut de page|volver arriba|voltar ao topo|naar boven|next page|previous page|skip to content
 """.strip()
-# Seed lines of content, beside the prose given: headings and the text of error and filler pages.
+# Seed lines of content.
 CONTENT = """
-notes from @: the old river near the second window|why the quiet mill of @ crossed a broken bridge|how the small garden followed the early train in @|the heavy door after the bright lamp: a visit to @|what the slow kettle returned in @|before the old mill of @ sorted the drawer
 page not found|the page you want is gone. go back to the start page or try a search.|error. please try again later.|your session has expired. log in again to see this content.|please enable javascript to view this page.|this site is under construction.|checking your browser before you continue.|the service is down for maintenance.|access denied|database error|internal error
 this is a sample page.|just another site.|replace this paragraph with your own words.|click to edit this block.|add a short description of your business.
-warum das stille haus aus @ den hafen fand|wie der neue tisch das alte rad in @ ordnete|pourquoi le jardin de @ traversait la rivière|comment la tour de @ suivait le port|por qué la torre de @ seguía el río|cómo el taller de @ cambiaba la mesa|como a torre de @ seguia o rio|waarom de oude toren uit @ de brug opende|hoe de nieuwe lamp in @ de tafel vond
 seite nicht gefunden|fehler|page introuvable|erreur|página no encontrada|página não encontrada|pagina niet gevonden
 """.strip()
 PROSE_LINES = """
@@ -85,8 +83,9 @@ achamos que isso não é nada fácil e que a casa ficava perto do rio.|quando a
 wij denken dat het oude huis ook daar bekend is, want het was niet eenvoudig te vinden.|het duurde dagen, maar toen zei hij dat de brug niet ver was.
 """.strip()
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|©|[|>»›/•·–<«]|::")
-_DIGITS = re.compile(r"\d+")
+_TOKEN = re.compile(r"[^\W\d_]+|©")
+_NUMBER = re.compile(r"\d+")
+_SPACES = re.compile(r"\s+")
 _SEPARATOR = re.compile(r"\s*(?:[|>»›·–•«]|::|/|  )\s*")
 _TEASER = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:\([^()]*\))?$")
 _BYLINE = re.compile(r"^(?:by|von|por|par|door|written by|de)\s+[^\W\d_]+\s+[^\W\d_]+$", re.I)
@@ -99,14 +98,14 @@ _END = re.compile(r"[.!?:;。！？]['\"”’»)\]]*$")
 _NOISE = re.compile(r"\s*\((?:\d+/\d+|[a-z]+-[a-z]+|\d+)\)$")
 
 
-def _tokens(line: str) -> list[str]:
-    return _TOKEN.findall(_DIGITS.sub("0", line.lower()))
+def _spell(line: str) -> str:
+    return _SPACES.sub(" ", _NUMBER.sub("0", line.lower())).strip()
 
 
 class LineModel:
     """Log odds of furniture for lines; positive: furniture."""
 
-    def __init__(self, smooth: float = 0.3):
+    def __init__(self, prose: list[str] = (), smooth: float = 0.3):
         own, other = Counter(), Counter()
         self.menu: set[str] = set()
         rows = FURNITURE.split("\n")
@@ -115,17 +114,34 @@ class LineModel:
                 own.update(self._grams(line))
                 if n < 6:
                     self.menu.add(line.strip())
-        for row in (CONTENT + "\n" + PROSE_LINES).split("\n"):
+        from fathomline.llm.residue import ERROR, FILLER  # what an error or filler page says is its body
+
+        for row in [*CONTENT.split("\n"), *PROSE_LINES.split("\n"), *ERROR, *FILLER, *prose]:
             for line in row.split("|"):
                 other.update(self._grams(line))
         self.odds = {g: max(-2.5, min(3.0, math.log((own[g] + smooth) / (other[g] * 1.5 + smooth)))) for g in {*own, *other}}
         self.seen: dict[str, tuple[float, str]] = {}
+        # seed lines as (what comes before the names, what comes after the last, words of names at most)
+        self.whole: set[str] = set()
+        self.framed: list[tuple[str, str, int]] = []
+        for row in rows[6:]:
+            for line in (*row.split("|"), row):
+                line = _spell(line.strip(" |"))
+                if "@" not in line:
+                    if len(line) > 3:
+                        self.whole.add(line)
+                elif len(line.replace("@", "").strip()) > 5:
+                    self.framed.append((line[: line.index("@")], line[line.rindex("@") + 1 :], len(line) + 40))
+
+    def known(self, line: str) -> bool:
+        """Whether a line is a seed line, names and numbers apart."""
+        x = _spell(line)
+        return x in self.whole or any(x.startswith(a) and x.endswith(b) and len(x) <= n for a, b, n in self.framed)
 
     @staticmethod
     def _grams(line: str) -> list[str]:
-        t = [x for x in _tokens(line.replace("@", " "))]
-        words = [x for x in t if x.isalpha()]
-        return t + [a + " " + b for a, b in zip(words, words[1:])]
+        words = _TOKEN.findall(line.lower())
+        return words + [a + " " + b for a, b in zip(words, words[1:])]
 
     def score(self, line: str) -> tuple[float, str]:
         """(log odds, shape): shape is ``menu``, ``teaser``, ``tags``, ``title`` or ``text``."""
@@ -177,13 +193,18 @@ class LineModel:
         words = raw.split()
         if n > 320:
             return -6.0, "text"
+        if n < 160 and self.known(raw):
+            return 8.0, "text"
         total = sum(self.odds.get(g, 0.0) for g in self._grams(raw))
         total = max(-6.0, min(8.0, total * min(1.0, 9.0 / max(1, len(words)) + 0.25)))
         if not _END.search(raw):
             if len(words) <= 16:
                 return total, "title"
             return total, "text"
-        return total - 1.0, "text"
+        # a sentence: words that furniture never uses speak against it
+        own = _TOKEN.findall(raw.lower())
+        strange = sum(self.odds.get(w, 0.0) < 0.3 for w in own) / max(1, len(own))
+        return total - 1.0 - 4.0 * strange, "text"
 
     def body(self, title: str, lines: list[str]) -> list[str]:
         """The lines without what is surely furniture."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fathomline.llm import capping, encoding, keyword_spam, leakage, near_dups, residue, site_lines
+from fathomline.llm import boilerplate, capping, encoding, keyword_spam, leakage, near_dups, residue, site_lines
 
 QUERIES = {
+    "p1_found": boilerplate.p1_found,
     "p2_found": residue.p2_found,
     "p3_found": site_lines.p3_found,
     "p5_found": keyword_spam.p5_found,

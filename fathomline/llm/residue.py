@@ -156,7 +156,7 @@ def residue(pages: DataFrame, prose: list[str]) -> DataFrame:
 
         from fathomline.llm.page_lines import LineModel
 
-        models, lines = ResidueModels(shared.value), LineModel()
+        models, lines = ResidueModels(shared.value), LineModel(shared.value)
         for b in batches:
             ids, kinds = [], []
             for i, t, c in zip(*(b.column(k).to_pylist() for k in range(3))):
