@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fathomline.llm import boilerplate, capping, encoding, keyword_spam, leakage, near_dups, residue, site_lines
+from fathomline.llm import boilerplate, capping, encoding, keyword_spam, languages, leakage, near_dups, residue, site_lines
 
 QUERIES = {
     "p1_found": boilerplate.p1_found,
     "p2_found": residue.p2_found,
     "p3_found": site_lines.p3_found,
+    "p4_found": languages.p4_found,
+    "p4_languages": languages.p4_languages,
     "p5_found": keyword_spam.p5_found,
     "p6_found": capping.p6_found,
     "p7_found": near_dups.p7_found,
