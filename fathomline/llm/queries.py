@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import boilerplate, capping, encoding, keyword_spam, languages, leakage, near_dups, residue, site_lines
+from fathomline.llm import boilerplate, capping, encoding, keyword_spam, languages, leakage, line_states, near_dups, residue, site_lines
 
 QUERIES = {
     "p1_found": boilerplate.p1_found,
@@ -17,6 +17,8 @@ QUERIES = {
     "p8_ids": encoding.p8_ids,
     "p9_found": leakage.p9_found,
     "p9_leaked_items": leakage.p9_leaked_items,
+    "p10_found": line_states.p10_found,
+    "p10_statistics": line_states.p10_statistics,
 }
 
 ORACLE_SQL = {
