@@ -71,6 +71,7 @@ def owners(keys: DataFrame, key: str, nodes: DataFrame, replicas: int = 64) -> D
 
 def digests(rows: DataFrame, by: str, item: Column) -> DataFrame:
     """(by, n, digest): hash of the sorted items of each group, through 256 sub-digests by leading byte so that no group is one list."""
-    x = rows.select(by, item.alias("item")).distinct().withColumn("part", F.substring(F.sha2("item", 256), 1, 2))
-    parts = x.groupBy(by, "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("d"))
-    return parts.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda z: z["d"]), ""), 256).alias("digest"))
+    x = rows.select(F.col(by).alias("_by"), item.alias("item")).distinct().withColumn("part", F.substring(F.sha2("item", 256), 1, 2))
+    parts = x.groupBy("_by", "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("h"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda z: z["h"]), ""), 256)
+    return parts.groupBy("_by").agg(F.sum("n").alias("n"), whole.alias("digest")).withColumnRenamed("_by", by)
