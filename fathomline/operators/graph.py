@@ -59,14 +59,20 @@ def ring(nodes: DataFrame, replicas: int = 64) -> DataFrame:
 def owners(keys: DataFrame, key: str, nodes: DataFrame, replicas: int = 64) -> DataFrame:
     """(key, node): the node of the first virtual point at or after the key's, the least beyond the last.
 
-    Points and keys are ranged together by their leading byte; each part carries
-    the point that opens the next, so no row meets all points.
+    Keys meet only the points of their leading byte; each of the 256 parts also
+    carries the first point after it. The parts hold replicas x nodes points in
+    all, and nodes are machines.
     """
-    pts = ring(nodes, replicas).withColumn("rn", F.row_number().over(Window.orderBy("point", "node")))  # nodes x 64 rows
-    nxt = pts.agg(F.array_sort(F.collect_list(F.struct("point", "node"))).alias("ring"))  # one row; nodes are machines
-    k = keys.select(key, _point(F.col(key)).alias("h")).crossJoin(F.broadcast(nxt))
-    at = F.filter("ring", lambda x: x["point"] >= F.col("h"))
-    return k.select(key, F.when(F.size(at) > 0, at[0]["node"]).otherwise(F.col("ring")[0]["node"]).alias("node"))
+    pts = ring(nodes, replicas).withColumn("part", F.shiftright("point", 24).cast("int"))
+    parts = pts.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("point", "node"))).alias("points"))
+    every = keys.sparkSession.range(256).select(F.col("id").cast("int").alias("part")).join(parts, "part", "left")
+    after = F.first("points", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))  # 256 rows
+    least = pts.agg(F.min(F.struct("point", "node")).alias("least"))
+    every = every.withColumn("after", after).crossJoin(F.broadcast(least))  # one row
+    every = every.select("part", "points", F.coalesce(F.col("after")[0]["node"], F.col("least.node")).alias("next"))
+    k = keys.select(key, _point(F.col(key)).alias("h")).withColumn("part", F.shiftright("h", 24).cast("int")).join(every, "part")
+    at = F.get(F.filter("points", lambda x: x["point"] >= F.col("h")), F.lit(0))["node"]
+    return k.select(key, F.coalesce(at, "next").alias("node"))
 
 
 def digests(rows: DataFrame, by: str, item: Column) -> DataFrame:
