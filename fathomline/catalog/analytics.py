@@ -227,3 +227,41 @@ def domain_gini(spark, sf):
     h = h.withColumn("ranks", F.col("m") * before + F.col("m") * (F.col("m") + 1) / 2)
     a = h.agg(F.sum("m").alias("k"), F.sum(F.col("ranks") * F.col("n")).alias("s"), F.sum(F.col("n") * F.col("m")).alias("t"))
     return a.select(F.col("k").alias("domains"), F.round(2 * F.col("s") / (F.col("k") * F.col("t")) - (F.col("k") + 1) / F.col("k"), 6).alias("gini"))
+
+
+_RING = "r AS (SELECT ('0x' || substr(sha256(node || '#' || chr(i::INTEGER)), 1, 8))::BIGINT AS point, node FROM n, range(0, 64) t(i))"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT domain, ('0x' || substr(sha256(domain), 1, 8))::BIGINT AS h FROM docs WHERE domain IS NOT NULL), n AS (SELECT DISTINCT peer_id AS node FROM peers), {_RING}, gone AS (SELECT min(node) AS g FROM n), r2 AS (SELECT * FROM r WHERE node <> (SELECT g FROM gone)),
+ o AS (SELECT domain, coalesce((SELECT arg_min(node, (point, node)) FROM r WHERE point >= d.h), (SELECT arg_min(node, (point, node)) FROM r)) AS old, coalesce((SELECT arg_min(node, (point, node)) FROM r2 WHERE point >= d.h), (SELECT arg_min(node, (point, node)) FROM r2)) AS new FROM d)
+ SELECT domain, old, new, CAST(floor((row_number() OVER (PARTITION BY old, new ORDER BY domain) - 1) / 50) AS BIGINT) AS batch FROM o WHERE old <> new""")
+def ownership_moves(spark, sf):
+    """Domains that change their owner when one peer leaves."""
+    d = table(spark, sf, "docs").where("domain is not null").select("domain").distinct()
+    n = table(spark, sf, "peers").select(F.col("peer_id").alias("node")).distinct()
+    gone = n.agg(F.min("node").alias("g"))
+    return G.moves(d, "domain", n, n.join(F.broadcast(gone), F.col("node") == F.col("g"), "left_anti"))
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT id, {TOK.format('content')} AS w FROM p), e AS (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t), f AS (SELECT * FROM e WHERE term IN ({_T})), g AS (SELECT a.id, min(abs(a.pos - b.pos)) AS d FROM f a JOIN f b ON a.id = b.id AND a.term < b.term GROUP BY 1)
+ SELECT t.id, round(coalesce(1 / (1 + d), 0), 6) AS proximity, round(len(list_filter([{_T}], lambda x: list_contains(w, x))) / {len(TERMS)}, 6) AS overlap FROM t LEFT JOIN g ON t.id = g.id WHERE w IS NOT NULL""")
+def term_proximity(spark, sf):
+    d = pages(spark, sf, "content").where("content is not null")
+    o = d.select("id", F.round(S.term_overlap(TERMS, S.tokens(F.col("content"))), 6).alias("overlap"))
+    return S.proximity(d, "id", "content", TERMS).select("id", F.round("proximity", 6).alias("proximity")).join(o, "id")
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    """Feature-hash vectors of the pages, the length of each beside it."""
+    from fathomline.operators.vectors import dot, embed
+
+    e = embed(pages(spark, sf, "content"), "id", "content")
+    return e.select("id", F.size("embedding").alias("dim"), F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+
+
+@query()
+def distinct_results(spark, sf):
+    """The first pages by quality without repeats of a url or a content."""
+    d = pages(spark, sf, "url", "content_hash").select("id", urls.normalize(F.col("url")).alias("url_norm"), "content_hash")
+    return S.distinct_results(d, [F.col("id")])

@@ -26,9 +26,22 @@ def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return d.select("id", *[c for c in columns if c != "id"])
 
 
+def union_all(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
+    """Rows of all frames, columns by name.
+
+    Spark 4.1 lets a union claim the partitioning of its children though adaptive
+    execution has coalesced them apart, and a grouping or join on top then gives
+    wrong rows; the claim is switched off for the session.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for x in rest:
+        first = first.unionByName(x, allowMissingColumns=missing)
+    return first
+
+
 def upsert(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Rows of current without those that updates replace, and the updates."""
-    return current.join(updates.select(key), key, "left_anti").unionByName(updates, allowMissingColumns=True)
+    return union_all(current.join(updates.select(key), key, "left_anti"), updates, missing=True)
 
 
 def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.io import shared_checkpoints
+from fathomline.io import shared_checkpoints, union_all
 from fathomline.lexicons import GENERIC_ANCHORS
 
 
@@ -22,7 +22,7 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 20, epsilon: flo
     shared_checkpoints(e.sparkSession)
     out = e.groupBy("from_id").agg(F.count("*").alias("deg"))
     e = e.join(out, "from_id").select("from_id", "to_id", (F.when(F.col("is_cross"), cross).otherwise(1.0) / F.col("deg")).alias("w")).checkpoint()
-    nodes = e.select(F.col("from_id").alias("node")).unionByName(e.select(F.col("to_id").alias("node"))).distinct().checkpoint()
+    nodes = union_all(e.select(F.col("from_id").alias("node")), e.select(F.col("to_id").alias("node"))).distinct().checkpoint()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(rounds):
@@ -81,3 +81,10 @@ def digests(rows: DataFrame, by: str, item: Column) -> DataFrame:
     parts = x.groupBy("_by", "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("h"))
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda z: z["h"]), ""), 256)
     return parts.groupBy("_by").agg(F.sum("n").alias("n"), whole.alias("digest")).withColumnRenamed("_by", by)
+
+
+def moves(keys: DataFrame, key: str, before: DataFrame, after: DataFrame, batch: int = 50) -> DataFrame:
+    """(key, old, new, batch): the keys whose owner changes between two sets of nodes, in numbered batches per pair of nodes."""
+    a, b = owners(keys, key, before).withColumnRenamed("node", "old"), owners(keys, key, after).withColumnRenamed("node", "new")
+    m = a.join(b, key).where("old <> new")
+    return m.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("old", "new").orderBy(key)) - 1) / batch).cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import tokens
+from fathomline.io import union_all
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 5.0, "description": 1.5, "content": 1.0}
@@ -45,7 +46,7 @@ def bm25(docs: DataFrame, key: str, field: str, terms: list[str], need: int = 1)
 def fielded(docs: DataFrame, key: str, terms: list[str], need: int = 1, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(key, score): boosted BM25 over several fields, each field on its own."""
     hits = [bm25(docs, key, f, terms, need).select(key, (F.col("score") * w).alias("score")) for f, w in boosts.items()]
-    return reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.sum("score").alias("score"))
+    return union_all(*hits).groupBy(key).agg(F.sum("score").alias("score"))
 
 
 def phrase(docs: DataFrame, field: str, text: str) -> DataFrame:
@@ -108,3 +109,40 @@ def final_score(relevance: Column, static: Column, freshness: Column, *multiplie
     for x in multipliers:
         m = m * x
     return F.greatest(F.lit(0.0), relevance * m)
+
+
+def distinct_results(results: DataFrame, order: list[Column], url: str = "url_norm", digest: str = "content_hash") -> DataFrame:
+    """Results in order without repeats of a url or a content, where a dropped result does not reserve its url. For one page of results (5,000 rows at most)."""
+    def keep(pdf):
+        urls, digests, good = set(), set(), []
+        for u, h in zip(pdf[url], pdf[digest]):
+            fresh = u not in urls and not (h and h in digests)
+            if fresh:
+                urls.add(u)
+                digests.add(h)
+            good.append(fresh)
+        return pdf[good]
+
+    top = results.orderBy(*order).limit(5000).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.lit(1))
+    return top.groupBy("_all").applyInPandas(lambda pdf: keep(pdf.sort_values("_rn")), top.schema).orderBy("_rn").drop("_rn", "_all")
+
+
+def term_overlap(query_terms: list[str], words: Column) -> Column:
+    """Share of the query's terms among the words."""
+    q = F.array(*[F.lit(t) for t in dict.fromkeys(query_terms)])
+    return F.size(F.array_intersect(q, words)) / F.greatest(F.size(q), F.lit(1))
+
+
+def proximity(docs: DataFrame, key: str, field: str, terms: list[str]) -> DataFrame:
+    """(key, proximity): 1 / (1 + mean least distance of the pairs of terms present); 0 with fewer than two.
+
+    Distances come from one window over the terms' positions: the nearest place of each other term before a place.
+    """
+    w = docs.select(key, F.posexplode(tokens(F.coalesce(F.col(field), F.lit("")))).alias("pos", "term")).where(F.col("term").isin(terms))
+    over = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = []
+    for t in dict.fromkeys(terms):
+        last = F.max(F.when(F.col("term") == t, F.col("pos"))).over(over)
+        pairs.append(w.withColumn("d", F.col("pos") - last).where((F.col("term") != t) & F.col("d").isNotNull()).select(key, F.least("term", F.lit(t)).alias("a"), F.greatest("term", F.lit(t)).alias("b"), "d"))
+    g = union_all(*pairs).groupBy(key, "a", "b").agg(F.min("d").alias("d")).groupBy(key).agg(F.avg("d").alias("d"))
+    return docs.select(key).join(g, key, "left").select(key, F.coalesce(1 / (1 + F.col("d")), F.lit(0.0)).alias("proximity"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import tokens
+from fathomline.io import union_all
 from fathomline.operators import search as S
 from fathomline.plans.parse import ParsedQuery, expand
 
@@ -62,7 +63,7 @@ def plan(docs: DataFrame, q: ParsedQuery, limit: int = 100) -> DataFrame:
             parts.append(S.phrase(d, field, p).select("id", F.lit(w).alias("score")))
     if not parts:
         return d.select("id", F.lit(1.0).alias("score")).orderBy("id").limit(limit)
-    primary = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("score").alias("score"))
+    primary = union_all(*parts).groupBy("id").agg(F.sum("score").alias("score"))
     if extra := [t for s in expand(q) for t in s.split()]:
         more = S.fielded(d, "id", extra, boosts={"title": 0.3, "content": 0.2}).withColumnRenamed("score", "extra")
         primary = primary.join(more, "id", "left").select("id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
