@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.io import union_all
 from fathomline.llm.common import shared_checkpoints, site_of, table
 
 MAX_ROUNDS = 60
@@ -63,14 +64,14 @@ def suitor_matching(records: DataFrame, capacity: Column | int, max_rounds: int
     verdict = single.groupBy("id").agg(F.bool_and(F.col("rank") <= F.col("cap")).alias("in_all"), F.max("degree").alias("degree"))
     many = edges.where("degree > 1").limit(1).count()
     if not many:
-        return base.where(F.size("cs") == 0).select("id", F.lit(True).alias("kept")).unionByName(verdict.select("id", F.col("in_all").alias("kept")))
+        return union_all(base.where(F.size("cs") == 0).select("id", F.lit(True).alias("kept")), verdict.select("id", F.col("in_all").alias("kept")))
     shared_checkpoints(records.sparkSession)
     live = edges.checkpoint()
     kept = None
     for _ in range(max_rounds):
         ranked = _ranked(live)
         good = ranked.groupBy("id").agg(F.bool_and(F.col("rank") <= F.col("cap")).alias("in_all")).where("in_all").select("id").checkpoint()
-        kept = good if kept is None else kept.unionByName(good)
+        kept = good if kept is None else union_all(kept, good)
         won = live.join(good, "id", "left_semi").groupBy("contributor").agg(F.count("*").alias("won"))
         rest = live.join(good, "id", "left_anti").join(won, "contributor", "left").withColumn("cap", F.col("cap") - F.coalesce("won", F.lit(0))).drop("won")
         full = rest.where("cap <= 0").select("id").distinct()

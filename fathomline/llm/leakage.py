@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fathomline.io import union_all
 from fathomline.llm.common import table
 
 MIN_WORDS = 12
@@ -175,7 +176,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, er
                 yield pa.RecordBatch.from_arrays([pa.array(ks, b.schema.field(0).type), pa.array(ii, item_type), pa.array(runs, pa.int32()), pa.array(far, pa.int32())], ["k", "i", "run", "distance"])
 
         got = d.mapInArrow(run, schema)
-        out = got if out is None else out.unionByName(got)
+        out = got if out is None else union_all(out, got)
     if out is None:
         out = spark.createDataFrame([], schema)
     out = out.groupBy("k", "i").agg(F.max("run").alias("run"), F.min("distance").alias("distance"))

@@ -21,6 +21,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.io import union_all
 from fathomline.llm.common import shared_checkpoints, table
 
 SHINGLE = 5
@@ -196,7 +197,7 @@ def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     pairs = _in_one_bucket(sized.where(F.col("n") <= HOT))
     hot = sized.where(F.col("n") > HOT).select("key", "id")
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_in_one_bucket(_hot_keys(docs, hot))).distinct()
+        pairs = union_all(pairs, _in_one_bucket(_hot_keys(docs, hot))).distinct()
     pairs = pairs.checkpoint()
     sets = _shingled(_texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     sets = sets.checkpoint()
@@ -213,7 +214,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, min_word
     ma, mb = (members.select(F.col("class_id").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
     across = pairs.join(ma, "a").join(mb, "b").select("id_a", "id_b")
     within = members.select("class_id", F.col("id").alias("id_a")).join(members.select("class_id", F.col("id").alias("id_b")), "class_id").where("id_a < id_b").select("id_a", "id_b")
-    return across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).unionByName(within)
+    return union_all(across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")), within)
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_rounds: int = 50) -> DataFrame:
@@ -225,7 +226,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, min_wor
     """
     members, pairs = classes_and_pairs(docs, threshold, min_words)
     pairs = pairs.select("a", "b").checkpoint()
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = union_all(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
     for _ in range(max_rounds):
         near = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
