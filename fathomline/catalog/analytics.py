@@ -262,6 +262,7 @@ def hashed_embeddings(spark, sf):
 
 @query()
 def distinct_results(spark, sf):
-    """The first pages by quality without repeats of a url or a content."""
-    d = pages(spark, sf, "url", "content_hash").select("id", urls.normalize(F.col("url")).alias("url_norm"), "content_hash")
-    return S.distinct_results(d, [F.col("id")])
+    """All pages by quality (none and NaN last) without repeats of a url or a content."""
+    d = pages(spark, sf, "url", "content_hash", "quality_score").select("id", urls.normalize(F.col("url")).alias("url_norm"), "content_hash", "quality_score")
+    worth = F.coalesce(F.nanvl("quality_score", F.lit(None).cast("double")), F.lit(float("-inf")))
+    return S.distinct_results(d, [-worth, F.col("id")]).drop("quality_score")

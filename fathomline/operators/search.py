@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import tokens
-from fathomline.io import union_all
+from fathomline.io import shared_checkpoints, union_all
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 5.0, "description": 1.5, "content": 1.0}
@@ -111,20 +111,40 @@ def final_score(relevance: Column, static: Column, freshness: Column, *multiplie
     return F.greatest(F.lit(0.0), relevance * m)
 
 
-def distinct_results(results: DataFrame, order: list[Column], url: str = "url_norm", digest: str = "content_hash") -> DataFrame:
-    """Results in order without repeats of a url or a content, where a dropped result does not reserve its url. For one page of results (5,000 rows at most)."""
+def distinct_results(results: DataFrame, order: list[Column], url: str = "url_norm", digest: str = "content_hash", tail: int = 20_000) -> DataFrame:
+    """Results in order without repeats of a url or a content, where a dropped result does not reserve its url. Of any number.
+
+    order holds ascending columns (numbers are negated to descend) that tell all results apart. In each round the
+    results that come first among those of their url and of their content are kept, and what shares a url or a
+    content with them goes. When at most ``tail`` results are undecided, one task takes them in order.
+    """
+    shared_checkpoints(results.sparkSession)
+    own = results.columns
+    x = results.withColumns({"_at": F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]), "_url": F.coalesce(F.col(url), F.lit("")), "_digest": F.nullif(F.col(digest), F.lit(""))}).checkpoint()
+    kept = []
+    while (n := x.count()) > tail:
+        firsts = [x.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("_at").alias(f"{c}_first")) for c in ("_url", "_digest")]
+        y = x.join(firsts[0], "_url").join(firsts[1], "_digest", "left")
+        y = y.withColumn("_keep", (F.col("_at") == F.col("_url_first")) & (F.col("_digest").isNull() | (F.col("_at") == F.col("_digest_first")))).select(*x.columns, "_keep").checkpoint()
+        good = y.where("_keep").drop("_keep")
+        kept.append(good)
+        x = y.where("not _keep").drop("_keep").join(good.select("_url"), "_url", "left_anti").join(good.where("_digest is not null").select("_digest"), "_digest", "left_anti").select(*x.columns).checkpoint()
+
     def keep(pdf):
         urls, digests, good = set(), set(), []
-        for u, h in zip(pdf[url], pdf[digest]):
-            fresh = u not in urls and not (h and h in digests)
+        for u, h in zip(pdf["_url"], pdf["_digest"]):
+            fresh = u not in urls and not (isinstance(h, str) and h in digests)
             if fresh:
                 urls.add(u)
                 digests.add(h)
             good.append(fresh)
-        return pdf[good]
+        return pdf.loc[good, ["_rn"]]
 
-    top = results.orderBy(*order).limit(5000).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.lit(1))
-    return top.groupBy("_all").applyInPandas(lambda pdf: keep(pdf.sort_values("_rn")), top.schema).orderBy("_rn").drop("_rn", "_all")
+    if n:
+        x = x.withColumn("_rn", F.row_number().over(Window.orderBy("_at"))).checkpoint()
+        rest = x.select("_rn", "_url", "_digest", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(lambda pdf: keep(pdf.sort_values("_rn")), "_rn int")
+        kept.append(x.join(rest, "_rn", "left_semi").drop("_rn"))
+    return union_all(*(kept or [x])).orderBy("_at").select(*own)
 
 
 def term_overlap(query_terms: list[str], words: Column) -> Column:
