@@ -40,6 +40,13 @@ def planned_search(spark, sf):
     return plan(d, parse('lantern OR harbour "the simple" lang:en has:https -glacier after:2024-01-10'))
 
 
+@query()
+def planned_terms(spark, sf):
+    """A query of two terms through the planner, wherever in a page they stand."""
+    d = latest(table(spark, sf, "docs").where("id is not null"), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
+    return plan(d, parse("lantern harbour"))
+
+
 @query()
 def spelling_suggestions(spark, sf):
     """The nearest dictionary word of each unknown word of the queries."""

@@ -24,6 +24,12 @@ def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
+def _weight(tf: Column, df: Column, length: Column, avg: Column) -> Column:
+    """BM25 of one term, n documents in all."""
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
 def bm25(docs: DataFrame, key: str, field: str, terms: list[str], need: int = 1) -> DataFrame:
     """(key, matched, score) of documents with at least ``need`` of the terms.
 
@@ -36,9 +42,7 @@ def bm25(docs: DataFrame, key: str, field: str, terms: list[str], need: int = 1)
     d = d.where(reduce(lambda a, b: a | b, [F.col(f"t{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(n))  # one row
     parts = []
     for i in range(len(terms)):
-        tf, df = F.col(f"t{i}"), F.col(f"d{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg"))))
+        parts.append(_weight(F.col(f"t{i}"), F.col(f"d{i}"), F.col("len"), F.col("avg")))
     matched = sum((F.when(F.col(f"t{i}") > 0, 1).otherwise(0) for i in range(len(terms))), F.lit(0))
     return d.select(key, matched.alias("matched"), sum(parts, F.lit(0.0)).alias("score")).where(F.col("matched") >= need)
 
@@ -49,6 +53,33 @@ def fielded(docs: DataFrame, key: str, terms: list[str], need: int = 1, boosts:
     return union_all(*hits).groupBy(key).agg(F.sum("score").alias("score"))
 
 
+def cross_field(docs: DataFrame, key: str, terms: list[str], fields=("title", "description", "content"), boost: float = 0.8) -> DataFrame:
+    """(key, score) of documents that hold each of the terms in at least one of the fields, in whichever; BM25 summed over the fields."""
+    terms = list(dict.fromkeys(terms))
+    w = docs.select(key, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{j}") for j, f in enumerate(fields)])
+    at = [(i, j) for i in range(len(terms)) for j in range(len(fields))]
+    d = w.select(key, *[F.size(f"w{j}").alias(f"len{j}") for j in range(len(fields))], *[_times(f"w{j}", terms[i]).alias(f"t{i}_{j}") for i, j in at])
+    n = d.agg(F.count("*").alias("n"), *[F.avg(F.when(F.col(f"len{j}") > 0, F.col(f"len{j}"))).alias(f"avg{j}") for j in range(len(fields))], *[F.sum((F.col(f"t{i}_{j}") > 0).cast("long")).alias(f"d{i}_{j}") for i, j in at])
+    every = reduce(lambda a, b: a & b, [sum((F.col(f"t{i}_{j}") for j in range(len(fields))), F.lit(0)) > 0 for i in range(len(terms))])
+    d = d.where(every).crossJoin(F.broadcast(n))  # one row
+    parts = [F.when(F.col(f"t{i}_{j}") > 0, _weight(F.col(f"t{i}_{j}"), F.col(f"d{i}_{j}"), F.col(f"len{j}"), F.col(f"avg{j}"))).otherwise(0.0) for i, j in at]
+    return d.select(key, (boost * sum(parts, F.lit(0.0))).alias("score"))
+
+
+def fuzzy(docs: DataFrame, key: str, field: str, terms: list[str], boost: float = 0.5) -> DataFrame:
+    """(key, score): BM25 of the field's words within the edits that fuzzy_terms allows, each word by its own frequency."""
+    edits = {t: 2 if len(t.encode()) >= 6 else 1 for t in terms if len(t.encode()) >= 4}
+    if not edits:
+        return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+    w = docs.select(key, tokens(F.coalesce(F.col(field), F.lit(""))).alias("w")).select(key, F.size("w").alias("len"), "w")
+    n = w.agg(F.count("*").alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg"))
+    x = w.select(key, "len", F.explode("w").alias("word"))
+    near = [F.when(F.abs(F.length("word") - len(t)) <= k, F.when(F.levenshtein("word", F.lit(t), k).between(0, k), F.lit(t))) for t, k in edits.items()]
+    x = x.select(key, "len", "word", F.explode(F.array_compact(F.array(*near))).alias("term")).groupBy(key, "term", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    x = x.join(x.groupBy("term", "word").agg(F.count("*").alias("df")), ["term", "word"]).crossJoin(F.broadcast(n))  # one row
+    return x.select(key, _weight(F.col("tf"), F.col("df"), F.col("len"), F.col("avg")).alias("score")).groupBy(key).agg((boost * F.sum("score")).alias("score"))
+
+
 def phrase(docs: DataFrame, field: str, text: str) -> DataFrame:
     """Documents that hold the words of text in a row."""
     norm = F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(field), F.lit(""))), " "), F.lit(" "))

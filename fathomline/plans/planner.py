@@ -46,25 +46,32 @@ def filters(d: DataFrame, q: ParsedQuery) -> DataFrame:
 
 
 def plan(docs: DataFrame, q: ParsedQuery, limit: int = 100) -> DataFrame:
-    """(id, score), best first. All terms in one field or any phrase; when nothing holds all terms, any term does.
+    """(id, score), best first. All terms in one field, each term in some field, or any phrase; when nothing is found, any term does.
 
-    Without terms and phrases the filters alone decide and every page scores 1.
+    The terms in a row, words near a term and synonyms raise the score of what is found, and find nothing themselves.
+    Without terms and phrases the filters alone decide and every page scores 1. Phrases score a fixed boost.
     """
     d = filters(docs, q)
-    parts = []
+    n = len(set(q.terms))
+    quoted = [S.phrase(d, field, p).select("id", F.lit(w).alias("score")) for p in q.phrases for field, w in (("title", 10.0), ("content", 6.0))]
+    parts = list(quoted)
     if q.terms:
-        n = len(set(q.terms))
-        hit = S.fielded(d, "id", q.terms, need=n)
-        if n > 1 and hit.isEmpty():
-            hit = S.fielded(d, "id", q.terms, need=1)
-        parts.append(hit)
-    for p in q.phrases:
-        for field, w in (("title", 10.0), ("content", 6.0)):
-            parts.append(S.phrase(d, field, p).select("id", F.lit(w).alias("score")))
+        parts.append(S.fielded(d, "id", q.terms, need=n))
+        if n > 1:
+            parts.append(S.cross_field(d, "id", q.terms))
+            if union_all(*parts).isEmpty():
+                parts = [S.fielded(d, "id", q.terms, need=1)]
     if not parts:
         return d.select("id", F.lit(1.0).alias("score")).orderBy("id").limit(limit)
     primary = union_all(*parts).groupBy("id").agg(F.sum("score").alias("score"))
+    more = []
+    if len(q.terms) > 1:
+        more += [S.phrase(d, field, " ".join(q.terms)).select("id", F.lit(w).alias("score")) for field, w in (("title", 8.0), ("description", 4.0), ("content", 3.0))]
+    if q.fuzzy and any(len(t.encode()) >= 4 for t in q.terms):
+        more.append(S.fuzzy(d, "id", "content", q.terms))
     if extra := [t for s in expand(q) for t in s.split()]:
-        more = S.fielded(d, "id", extra, boosts={"title": 0.3, "content": 0.2}).withColumnRenamed("score", "extra")
-        primary = primary.join(more, "id", "left").select("id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+        more.append(S.fielded(d, "id", extra, boosts={"title": 0.3, "content": 0.2}))
+    if more:
+        extras = union_all(*more).groupBy("id").agg(F.sum("score").alias("extra"))
+        primary = primary.join(extras, "id", "left").select("id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
     return primary.orderBy(F.desc("score"), "id").limit(limit)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from fathomline import catalog
-from fathomline.io import pages
 from fathomline.functions import urls
+from fathomline.io import pages
 from fathomline.operators import search as S
+from fathomline.plans.parse import parse
+from fathomline.plans.planner import plan
 
 
 def greedy(rows):
@@ -41,3 +43,28 @@ def test_distinct_results_of_all_pages_by_quality(spark, sf):
     d = pages(spark, sf, "url", "content_hash", "quality_score").select("id", urls.normalize(F.col("url")).alias("u"), "content_hash", "quality_score").collect()
     best = lambda x: (-x[3] if x[3] is not None and x[3] == x[3] else float("inf"), x[0])
     assert [x["id"] for x in catalog.QUERIES["distinct_results"](spark, sf).collect()] == greedy([x[:3] for x in sorted(d, key=best)])
+
+
+PAGE = "id string, title string, description string, content string"
+
+
+def planned(spark, rows, text):
+    return {x["id"]: x["score"] for x in plan(spark.createDataFrame(rows, PAGE), parse(text)).collect()}
+
+
+def test_plan_finds_terms_across_fields(spark):
+    rows = [("one", "", "", "a lantern by the harbour"), ("across", "lantern", "", "the harbour"), ("half", "", "", "lantern only"), ("none", "", "", "words")]
+    r = planned(spark, rows, "lantern harbour")
+    assert set(r) == {"one", "across"}
+
+
+def test_plan_raises_terms_in_a_row_and_near_words(spark):
+    rows = [("row", "", "", "old lantern harbour town"), ("apart", "", "", "lantern old harbour town"), ("near", "", "", "lantern old harbour lanterns"), ("only near", "", "", "lanterns old harbours x")]
+    r = planned(spark, rows, "lantern harbour")
+    assert set(r) == {"row", "apart", "near"} and r["row"] - r["apart"] == pytest.approx(3.0) and r["near"] > r["apart"]
+
+
+def test_plan_relaxes_only_when_nothing_is_found(spark):
+    rows = [("a", "", "", "lantern"), ("b", "", "", "the blue door"), ("c", "", "", "harbour")]
+    assert set(planned(spark, rows, "lantern harbour")) == {"a", "c"}
+    assert set(planned(spark, rows, 'lantern harbour "blue door"')) == {"b"}
