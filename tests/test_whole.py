@@ -68,3 +68,17 @@ def test_plan_relaxes_only_when_nothing_is_found(spark):
     rows = [("a", "", "", "lantern"), ("b", "", "", "the blue door"), ("c", "", "", "harbour")]
     assert set(planned(spark, rows, "lantern harbour")) == {"a", "c"}
     assert set(planned(spark, rows, 'lantern harbour "blue door"')) == {"b"}
+
+
+@pytest.mark.parametrize("sites", [1, 2])
+def test_repeated_lines_are_found_at_any_share_of_a_site(spark, sites):
+    from fathomline.llm.site_lines import repeated_lines
+
+    rows = [(f"d{i}", "one.org" if i % 20 or sites == 1 else "two.org", f"header\nline {chr(97 + i % 15)}\nown {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(120)]
+    d = spark.createDataFrame([(i, s, None, c) for i, s, c in rows], "id string, domain string, url string, content string")
+    want = set()
+    for i, s, c in rows:
+        for n, line in enumerate(c.split("\n")):
+            if sum(s == s2 and line in c2.split("\n") for _, s2, c2 in rows) >= 6:
+                want.add((i, n))
+    assert {tuple(x) for x in repeated_lines(d).collect()} == want
