@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.io import union_all
+from fathomline.io import pages, union_all
 from fathomline.llm.common import shared_checkpoints, table
 
 SHINGLE = 5
@@ -245,6 +245,22 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, min_wor
     return members.join(per_class, "class_id").select("id", "class_id", "links", "group_id")
 
 
+def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, other, similarity) over all pages, one row per id: each page of equal shingles with the least id of its class, and the pairs of such least ids above the threshold.
+
+    Pages without a shingle are equal to each other and to no other page.
+    """
+    members, pairs = classes_and_pairs(docs, threshold, SHINGLE)
+    void = docs.where("id is not null and content is not null").select("id").join(members.select("id"), "id", "left_anti")
+    void = void.crossJoin(F.broadcast(void.agg(F.min("id").alias("class_id"))))  # one row
+    copies = union_all(members, void).where("id <> class_id").select(F.col("class_id").alias("id"), F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    return union_all(copies, pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity"))
+
+
+def near_duplicate_pages(spark, sf_dir: str) -> DataFrame:
+    return near_duplicate_links(pages(spark, sf_dir, "content")).withColumn("similarity", F.round("similarity", 6))
+
+
 def p7_found(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "docs"))
 

@@ -14,6 +14,7 @@ QUERIES = {
     "p6_found": capping.p6_found,
     "p7_found": near_dups.p7_found,
     "p7_groups": near_dups.p7_groups,
+    "near_duplicate_pages": near_dups.near_duplicate_pages,
     "p8_ids": encoding.p8_ids,
     "p9_found": leakage.p9_found,
     "p9_leaked_items": leakage.p9_leaked_items,
