@@ -16,25 +16,21 @@ repeated rows of an id count once.
 
 from __future__ import annotations
 
-import re
 from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import table
+from fathomline.llm.page_lines import host_names, is_item
+from fathomline.llm.page_models import PageModels, is_sentence, page_models
 
 ADJACENT = 1.3
 ACROSS_BLANK = 0.9
 SAME_SHAPE = 0.8
-HEADING = 4.0
-
-_MORE = re.compile(
-    r"^(?:related|you may also|most read|more from|more on|read (?:also|next|more)|see also|recommended|ähnliche|mehr von|mehr zum|das könnte|meistgelesen|articles liés|à lire|lire aussi|plus de|les plus lus"
-    r"|artículos relacionados|más de|más leídos|también|lo más leído|artigos relacionados|mais do|mais de|mais lid|leia|verwante|meer van|lees ook|meest gelezen)\b",
-    re.I,
-)
-_BULLET = re.compile(r"^(?:[-*•–]|\d{1,3}[.)]|[a-z]\))\s+\S")
+HEADING = 3.0
+#: Bounds of a terminal capacity, what speaks for the body, odds that no judgement of the page overrides.
+LIMIT, CLEAR, ITEM, SURE = 8.0, 6.0, 2.0, 5.0
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -100,97 +96,108 @@ def _max_flow(nodes: list[int], u: list[float], near: list[dict[int, float]]) ->
 
 
 class Labeller:
-    def __init__(self, spam, lines):
-        self.spam, self.lines = spam, lines
+    """Labels the lines of a page by a minimum cut; simple: without the judgement of pages of notices, filler and keywords."""
+
+    def __init__(self, models, simple: bool = False):
+        from fathomline.llm.page_lines import LineModel
+
+        self.lines = LineModel(models.weights, models.bias, models.recurring)
+        self.pages = None
+        if not simple:
+            from fathomline.llm.residue import PageJudge
 
-    def furniture(self, title: str | None, content: str | None) -> list[int]:
-        """Line numbers of the furniture of a page."""
+            self.pages = PageJudge(models, self.lines)
+
+    def furniture(self, title: str | None, content: str | None, *hosts: str | None) -> list[int]:
+        """Line numbers of the furniture of a page; hosts are its domain and URL."""
         raw = (content or "").split("\n")
-        title = (title or "").strip()
         at = [i for i, x in enumerate(raw) if x.strip()]
         if not at:
             return []
+        names = host_names(*hosts)
         texts = [raw[i].strip() for i in at]
-        scored = [self.lines.score(x) for x in texts]
+        bare = sum(map(is_sentence, texts)) < 3 and self.pages is not None and self.pages.bare(title, content, names)
+        return [at[i] for i in self.lines_of((title or "").strip(), texts, at, names, bare)]
+
+    def costs(self, title: str, texts: list[str], names: frozenset[str], bare: bool) -> tuple[list[float], list[str]]:
+        """Terminal capacities (log odds of furniture) and shapes of the lines."""
         unary, shapes = [], []
-        doubtful = sum(s[1] in ("title", "tags") for s in scored) * 2 > len(scored) and self.spam.is_spam(title, content)
-        for x, (score, shape) in zip(texts, scored):
-            u = score
-            if shape == "title":
-                u = max(u - 0.8, -1.0)  # a heading of the body or an entry of a list of others: its neighbours tell
-            if title and len(x) > 3 and (x == title or title.startswith(x) and len(x) > 0.6 * len(title) or x.startswith(title) and len(x) < len(title) + 40) and shape != "menu":
-                u = min(u, -6.0)
-                shape = "own"
-            elif _BULLET.match(x) and u < 4:
-                u -= 1.5
-                shape = "item"
-            if doubtful and u < 9.0 and shape in ("title", "tags", "item", "text") and not (score >= 3.0 and shape == "text") and not (score >= 5.0 and shape == "title"):
-                u = min(u, -6.0)
-            unary.append(u)
+        n = len(texts)
+        for i, x in enumerate(texts):
+            score, shape, _ = self.lines.score(x, names)
+            u = score + max(-1.0, min(1.0, self.lines.place(i, n)))
+            if title and len(x) > 3 and shape != "menu" and (x == title or title.startswith(x) and len(x) > 0.6 * len(title) or x.startswith(title) and len(x) < len(title) + 40):
+                u, shape = min(u, 0.0) - CLEAR, "own"
+            elif shape != "menu" and is_item(x):
+                u, shape = u - ITEM, "item"
+            if bare and u < SURE:
+                u = min(u, 0.0) - CLEAR  # a page of keywords, filler or a notice: that is its body
+            unary.append(max(-LIMIT, min(LIMIT, u)))
             shapes.append(shape)
-        n = len(at)
+        return unary, shapes
+
+    def lines_of(self, title: str, texts: list[str], at, names: frozenset[str], bare: bool) -> list[int]:
+        """Indexes of the furniture among the non-blank lines, of which at gives the line numbers."""
+        unary, shapes = self.costs(title or "", texts, names, bare)
+        n = len(texts)
         edges = [(i, i + 1, ADJACENT if at[i + 1] == at[i] + 1 else ACROSS_BLANK) for i in range(n - 1)]
         for i in range(n - 2):
             if shapes[i] == shapes[i + 2] and shapes[i] in ("title", "teaser", "menu"):
                 edges.append((i, i + 2, SAME_SHAPE))
-        if not doubtful:
+        if not bare:
             for i in range(n):
-                if unary[i] > 1.0 and len(texts[i]) < 60 and _MORE.match(texts[i]):
+                if unary[i] > 1.0 and len(texts[i]) < 60 and shapes[i] in ("title", "text"):
                     for j in range(i + 1, n):
                         if shapes[j] not in ("title", "teaser"):
                             break
                         edges.append((i, j, HEADING))
-        return [at[i] for i, x in enumerate(min_cut(unary, edges)) if x]
+        return [i for i, x in enumerate(min_cut(unary, edges)) if x]
 
 
-def labeller(prose: list[str]) -> Labeller:
-    from fathomline.llm.keyword_spam import spam_model
-    from fathomline.llm.page_lines import LineModel
-    from fathomline.llm.residue import ResidueModels
-
-    return Labeller(spam_model(ResidueModels(prose), prose), LineModel(prose))
-
-
-def furniture_lines(pages: DataFrame, prose: list[str]) -> DataFrame:
-    """(id, line_no): each non-blank line that isn't main body, each id once."""
-    shared = pages.sparkSession.sparkContext.broadcast(prose)
+def furniture_lines(pages: DataFrame, models: PageModels) -> DataFrame:
+    """(id, gone array<int>): the line numbers that aren't main body, one row per row of pages that has any."""
+    shared = pages.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import pyarrow as pa
 
-        model = labeller(shared.value)
+        lab = Labeller(shared.value)
         for b in batches:
             ids, gone = [], []
-            for i, t, c in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for i, t, c, d, u in zip(*(b.column(k).to_pylist() for k in range(5))):
                 ids.append(i)
-                gone.append(model.furniture(t, c))
+                gone.append(lab.furniture(t, c, d, u))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["id", "gone"])
 
-    p = pages.select("id", "title", "content").where("id is not null and content is not null")
+    p = pages.select("id", "title", "content", "domain", "url").where("id is not null and content is not null")
     return p.mapInArrow(run, "id string, gone array<int>").where(F.size("gone") > 0)
 
 
-def main_bodies(pages: DataFrame, prose: list[str]) -> DataFrame:
+def main_bodies(pages: DataFrame, models: PageModels) -> DataFrame:
     """(id, url, content): each row of pages with its main body only, lines in their order."""
-    shared = pages.sparkSession.sparkContext.broadcast(prose)
+    shared = pages.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import pyarrow as pa
 
-        model = labeller(shared.value)
+        lab = Labeller(shared.value)
         for b in batches:
             out = []
-            for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone = set(model.furniture(t, c))
+            for u, t, c, d in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                gone = set(lab.furniture(t, c, d, u))
                 out.append(None if c is None else "\n".join(x for i, x in enumerate(c.split("\n")) if i not in gone))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "content"])
 
-    return pages.select("id", "url", "title", "content").mapInArrow(run, "id string, url string, content string")
+    return pages.select("id", "url", "title", "content", "domain").mapInArrow(run, "id string, url string, content string")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    from fathomline.llm.residue import prose_sample
-
-    found = furniture_lines(table(spark, sf_dir, "docs"), prose_sample(spark, sf_dir))
+    found = furniture_lines(table(spark, sf_dir, "docs"), page_models(spark, sf_dir))
     once = found.groupBy("id").agg(F.first("gone").alias("gone"))
     return once.select("id", F.explode("gone").alias("line_no"))
+
+
+def p1_bodies(spark, sf_dir: str) -> DataFrame:
+    """The main body of each page, each id once."""
+    got = main_bodies(table(spark, sf_dir, "docs").where("id is not null"), page_models(spark, sf_dir))
+    return got.groupBy("id").agg(F.first("url").alias("url"), F.first("content").alias("content"))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomline.io import shared_checkpoints, table  # noqa: F401  (used by the operators)
+
 #: White space as Python's ``str.isspace`` sees it, spelled out because Java's ``\s`` is ASCII only.
 SPACE = r"[\s\u0085   -     　\u001c-\u001f]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL without user, port or a leading ``www.``; null when there is none."""
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -26,21 +22,3 @@ def site_of(domain: Column, url: Column) -> Column:
     """Site of a page: the cleaned domain, else the host of the URL (null when neither exists)."""
     d = F.regexp_replace(F.lower(F.regexp_replace(domain, f"^{SPACE}+|{SPACE}+$", "")), r"^www\.", "")
     return F.coalesce(F.when(d != "", d), host_of(url))
-
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``; only a local
-    session without that setting gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

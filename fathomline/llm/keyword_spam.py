@@ -32,6 +32,8 @@ SPAM_SHARE = 0.45
 CONTENT_SHARE = 0.72
 #: Mean autocorrelation over the lags from which repetition is unnatural.
 REGULAR = 0.055
+#: Coefficient of variation of the gaps below which they are even.
+EVEN = 1.2
 
 # The commonest function words of six languages.
 FUNCTION_WORDS = frozenset(
@@ -99,13 +101,10 @@ def entry_words(line: str) -> tuple[int, int, list[str]]:
 
 
 class SpamModel:
-    """Judges pages; ``furniture(line)`` tells page furniture, ``other(title, content)`` filler and error pages, which aren't spam."""
+    """Judges the lines of a page; furniture(line) tells page furniture."""
 
-    def __init__(self, furniture, other):
-        self.furniture, self.other = furniture, other
-
-    def measures(self, title: str, lines: list[str]) -> dict[str, float] | None:
-        kept = [x for x in lines if x and x != title and not self.furniture(x)]
+    def measures(self, title: str, lines: list[str], furniture=None) -> dict[str, float] | None:
+        kept = [x for x in lines if x and x != title and not (furniture and furniture(x))]
         words = entries = 0
         terms: list[str] = []
         for x in kept:
@@ -114,52 +113,45 @@ class SpamModel:
             terms += t
         if words < MIN_WORDS:
             return None
-        return {"words": words, "entries": entries / words, "content": len(terms) / words, "terms": terms}
+        return {"words": words, "entries": entries / words, "content": len(terms) / words, "terms": terms, "regular": autocorrelation(terms), "gaps": gap_variation(terms)}
 
-    def is_spam(self, title: str | None, content: str | None) -> bool:
-        m = self.measures((title or "").strip(), [x.strip() for x in (content or "").split("\n")])
-        if m is None:
+    def is_spam(self, title: str | None, lines: list[str], furniture=None) -> bool:
+        m = self.measures((title or "").strip(), lines, furniture)
+        if m is None or m["entries"] <= SPAM_SHARE and m["content"] <= CONTENT_SHARE:
             return False
-        listed = m["entries"] > SPAM_SHARE
-        stuffed = m["content"] > CONTENT_SHARE and autocorrelation(m["terms"]) > REGULAR and gap_variation(m["terms"]) < 1.2
-        return (listed or stuffed) and not self.other(title, content)
-
-
-def spam_model(residue, prose: list[str] = ()):
-    """The model for production, given the residue models that tell filler and errors, and sample prose."""
-    from fathomline.llm.page_lines import LineModel
-
-    lines = LineModel(prose)
-
-    def furniture(x: str) -> bool:
-        score, shape = lines.score(x)
-        return score >= 3.0 and shape != "tags"
+        return self.stuffed(m) or self.listed(m)
 
-    def other(title: str | None, content: str | None) -> bool:
-        return residue.verdict(title, content, lines.body) in ("filler", "error")
+    @staticmethod
+    def stuffed(m) -> bool:
+        """Terms that recur within the lag window more often, and at more even gaps, than in natural text."""
+        return m["content"] > CONTENT_SHARE and m["regular"] > REGULAR and m["gaps"] < EVEN
 
-    return SpamModel(furniture, other)
+    @staticmethod
+    def listed(m) -> bool:
+        """Entries without function words whose nouns are distinct: hardly any recurs within the lag window."""
+        return m["entries"] > SPAM_SHARE and m["regular"] <= REGULAR
 
 
-def spam_pages(pages: DataFrame, prose: list[str]) -> DataFrame:
+def spam_pages(pages: DataFrame, models) -> DataFrame:
     """(id): the pages of keywords, tags, product tags, links or titles; each id once."""
-    shared = pages.sparkSession.sparkContext.broadcast(prose)
+    shared = pages.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import pyarrow as pa
 
-        from fathomline.llm.residue import ResidueModels
+        from fathomline.llm.page_lines import host_names
+        from fathomline.llm.residue import PageJudge
 
-        model = spam_model(ResidueModels(shared.value), shared.value)
+        judge = PageJudge(shared.value)
         for b in batches:
-            ids = [i for i, t, c in zip(*(b.column(k).to_pylist() for k in range(3))) if model.is_spam(t, c)]
+            ids = [i for i, t, c, d, u in zip(*(b.column(k).to_pylist() for k in range(5))) if judge.is_spam(t, c, host_names(d, u))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], ["id"])
 
-    p = pages.select("id", "title", "content").where("id is not null and content is not null")
+    p = pages.select("id", "title", "content", "domain", "url").where("id is not null and content is not null")
     return p.mapInArrow(run, "id string").groupBy("id").agg(F.lit(1).alias("one")).select("id")
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    from fathomline.llm.residue import prose_sample
+    from fathomline.llm.page_models import page_models
 
-    return spam_pages(table(spark, sf_dir, "docs"), prose_sample(spark, sf_dir))
+    return spam_pages(table(spark, sf_dir, "docs"), page_models(spark, sf_dir))

@@ -30,20 +30,20 @@ def hashed(c, n: int, bits: int):
 
 
 class RatioModel:
-    """log P(n-gram | class) - log P(n-gram | prose); n-grams seen in neither are neutral."""
+    """log P(n-gram | class) - log P(n-gram | the likeliest of the other sorts of text); n-grams seen in none are neutral."""
 
-    def __init__(self, own: list[str], prose: list[str], n: int = 5, bits: int = 17, smooth: float = 0.05):
+    def __init__(self, own: list[str], *others: list[str], n: int = 5, bits: int = 17, smooth: float = 0.05, lower: bool = True):
         import numpy as np
 
         self.n, self.bits = n, bits
-        counts = []
-        for texts in (own, prose):
+        rates = []
+        for texts in (own, *others):
             t = np.zeros(1 << bits)
             for x in texts:
-                np.add.at(t, hashed(codes(x)[0], n, bits), 1.0)
-            counts.append(t)
-        rates = [np.log((t / max(t.sum(), 1.0)) * 10_000 + smooth) for t in counts]
-        self.table = np.clip(rates[0] - rates[1], -4, 4).astype(np.float32)
+                c = codes(x)[0] if lower else np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                np.add.at(t, hashed(c, n, bits), 1.0)
+            rates.append(np.log((t / max(t.sum(), 1.0)) * 10_000 + smooth))
+        self.table = np.clip(rates[0] - np.max(rates[1:], axis=0), -4, 4).astype(np.float32)
 
     def hashes(self, c):
         return hashed(c, self.n, self.bits)

@@ -1,211 +1,231 @@
-"""What a single line of a page looks like: furniture or content, in six languages.
-
-A naive Bayes model over words and word pairs, trained on the seed lines below,
-and the line's shape (separators, teasers, bylines, tag lines) give the log odds
-that a line is page furniture. Scores of short lines are remembered.
+"""What a single line of a page looks like: furniture or content, in any language.
+
+A logistic model over a line's words, word pairs, first and last words and its
+shape (length, ending, separators, capitals), and over its place in the page.
+It is fitted by self-training on a bounded sample of pages (``page_models``):
+lines that recur, names and numbers apart, on pages of different sites are
+furniture, prose that recurs nowhere is content, and notices that recur only on
+pages without prose are content too. The few hand-written lines below stand for
+furniture of the web at large and are no lines of any table.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-
-# Seed lines of furniture; 0 stands for any number, @ for a name of a site or person.
-FURNITURE = """
-home|forum|events|gallery|contact|search|recipes|news|reviews|guides|archive|support|downloads|shop|about us|sitemap|rss|login|sign in|register|subscribe|menu|categories|tags|help|faq|jobs|press|partners|newsletter|my account
-accueil|forum|agenda|galerie|contact|recherche|recettes|actualités|essais|guides|archives|aide|téléchargements|boutique|plan du site|à propos|connexion|menu
-startseite|forum|termine|galerie|kontakt|suche|rezepte|neuigkeiten|tests|ratgeber|archiv|hilfe|downloads|laden|über uns|anmelden|impressum|datenschutz
-inicio|foro|agenda|galería|contacto|buscar|recetas|noticias|pruebas|guías|archivo|ayuda|descargas|tienda|acerca de|mapa del sitio
-início|fórum|agenda|galeria|contato|busca|receitas|notícias|testes|guias|arquivo|ajuda|downloads|loja|sobre nós|mapa do site
-startpagina|forum|agenda|galerij|contact|zoeken|recepten|nieuws|testen|gidsen|archief|hulp|downloads|winkel|over ons|inloggen
-you are here|sie sind hier|vous êtes ici|está aquí|está usted aquí|estás aquí|você está aqui|u bent hier|u bevindt zich hier
-this site stores small files on your device to remember your choices. ok, got it
-we use cookies to keep @ running. by continuing to browse you agree to our cookie policy.
-@ and its partners store information on your device. accept all | reject | settings
-your privacy matters to @: choose which trackers you allow before you read on.
-wir verwenden cookies, damit @ funktioniert. mit dem weiterlesen stimmen sie unseren regeln zu.
-@ speichert daten auf ihrem gerät. alle annehmen | ablehnen | einstellungen
-nous utilisons des cookies pour faire fonctionner @. en continuant, vous acceptez nos règles.
-@ enregistre des données sur votre appareil. tout accepter | refuser | réglages
-usamos cookies para que @ funcione. si sigue leyendo, acepta nuestras normas.
-@ guarda datos en su dispositivo. aceptar todo | rechazar | ajustes
-usamos cookies para que o @ funcione. ao continuar, você aceita as nossas regras.
-o @ guarda dados no seu aparelho. aceitar tudo | recusar | ajustes
-wij gebruiken cookies om @ te laten werken. als u verder leest, gaat u akkoord met onze regels.
-@ bewaart gegevens op uw apparaat. alles toestaan | weigeren | instellingen
-by @ @|written by @ @, @ staff|posted on 0.0.0 by @ @|@ @ | 0 min read|published 0|last updated 0|updated on 0
-von @ @|veröffentlicht am 0.0.0 von @ @|@ @ | 0 minuten lesezeit
-par @ @|publié le 0.0.0 par @ @|@ @ | 0 min de lecture
-por @ @|publicado el 0.0.0 por @ @|@ @ | 0 min de lectura
-publicado em 0.0.0 por @ @|@ @ | 0 min de leitura
-door @ @|geplaatst op 0.0.0 door @ @|@ @ | 0 minuten leestijd
-share this story with a friend|share this article|like it? tweet · pin · mail|print this page|tell others about this page and help @ grow.|follow us on|tweet|pin|mail
-teilen sie diesen beitrag mit freunden|gefällt ihnen das? teilen · merken · drucken
-partagez cet article avec vos amis|vous aimez ? partager · garder · imprimer
-comparte este artículo con tus amigos|¿te gusta? compartir · guardar · imprimir
-compartilhe este artigo com os seus amigos|gostou? compartilhar · guardar · imprimir
-deel dit bericht met uw vrienden|leuk gevonden? delen · bewaren · afdrukken
-enter your e-mail address to get updates every week|sign up for the @ newsletter and never miss a story|become a member of @ for 0 a month|subscribe to our newsletter
-melden sie sich für den rundbrief von @ an|mit einem abo ab 0 im monat lesen sie weiter
-abonnez-vous à la lettre de @ pour ne rien manquer|lisez la suite à partir de 0 par mois
-recibe el boletín de @ todas las semanas|sigue leyendo desde 0 al mes
-receba o boletim do @ todas as semanas|continue a ler a partir de 0 por mês
-meld u aan voor de nieuwsbrief van @|lees verder vanaf 0 per maand
-leave a reply: your address will not be published|log in to post a comment|0 comments
-zum kommentieren bitte anmelden|0 kommentare|connectez-vous pour laisser un commentaire|0 commentaires|inicia sesión para dejar un comentario|0 comentarios|entre na sua conta para comentar|0 comentários|log in om te reageren|0 reacties
-related articles|you may also like|most read|more from @|read more|see also|ähnliche beiträge|mehr von @|articles liés|à lire aussi sur @|artículos relacionados|más de @|artigos relacionados|mais do @|verwante berichten|meer van @
-tags: @|schlagwörter: @|mots-clés: @|étiquettes: @|etiquetas: @|trefwoorden: @|filed under: @
-editor's note: @|hinweis der redaktion: @|note de la rédaction : @|nota de la redacción: @|nota da redação: @|noot van de redactie: @
-nothing on this page is advice; please ask a professional before you act.|the opinions given here are those of the author and not of @.|@ may earn a commission when you buy through links on this page.
-dieser beitrag ersetzt keine beratung durch eine fachkraft.|die meinung des autors ist nicht immer die meinung von @.
-cette page ne remplace pas le conseil d'un professionnel.|les avis publiés ici sont ceux de leur auteur et non ceux de @.
-esta página no sustituye el consejo de un profesional.|las opiniones de esta página son de su autor y no de @.
-esta página não substitui o conselho de um profissional.|as opiniões desta página são do autor e não do @.
-deze pagina vervangt geen advies van een vakman.|de mening van de schrijver is niet altijd die van @.
-© 0 @. all rights reserved.|copyright 0 by @, no part of this site may be copied|reproduction in any form needs the written consent of @.|powered by the @ team since 0 · sitemap · rss|@ – imprint – privacy – terms of use
-© 0 @. alle rechte vorbehalten.|@ – impressum – datenschutz – nutzungsbedingungen|© 0 @. tous droits réservés.|@ – mentions légales – vie privée – conditions
-© 0 @. todos los derechos reservados.|@ – aviso legal – privacidad – condiciones|© 0 @. todos os direitos reservados.|@ – aviso legal – privacidade – condições|© 0 @. alle rechten voorbehouden.|@ – colofon – privacy – voorwaarden
-back to top|nach oben|haut de page|volver arriba|voltar ao topo|naar boven|next page|previous page|skip to content
-""".strip()
-# Seed lines of content.
-CONTENT = """
-page not found|the page you want is gone. go back to the start page or try a search.|error. please try again later.|your session has expired. log in again to see this content.|please enable javascript to view this page.|this site is under construction.|checking your browser before you continue.|the service is down for maintenance.|access denied|database error|internal error
-this is a sample page.|just another site.|replace this paragraph with your own words.|click to edit this block.|add a short description of your business.
-seite nicht gefunden|fehler|page introuvable|erreur|página no encontrada|página não encontrada|pagina niet gevonden
-""".strip()
-PROSE_LINES = """
-it was a long day and they said that the river was not far from the old house.|he said that she would not go to the market before the end of the week.|when they opened the door the people of the town asked what had been found.
-es dauerte lange, aber dann sagte er, dass das haus nicht weit von der brücke war.|wir glauben, dass die alte schule auch dort bekannt ist, denn sie war nicht einfach zu finden.
-il a fallu des jours pour que l'on sache si la maison était loin de la rivière.|nous pensons que ce n'est pas facile et que le jardin était dans la rue.
-creemos que no es nada fácil y que la casa estaba cerca del río.|cuando el pueblo abría la puerta, también la gente decía que era tarde.
-achamos que isso não é nada fácil e que a casa ficava perto do rio.|quando a escola abria a porta, também o povo dizia que era tarde.
-wij denken dat het oude huis ook daar bekend is, want het was niet eenvoudig te vinden.|het duurde dagen, maar toen zei hij dat de brug niet ver was.
-""".strip()
-
-_TOKEN = re.compile(r"[^\W\d_]+|©")
-_NUMBER = re.compile(r"\d+")
-_SPACES = re.compile(r"\s+")
-_SEPARATOR = re.compile(r"\s*(?:[|>»›·–•«]|::|/|  )\s*")
-_TEASER = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:\([^()]*\))?$")
-_BYLINE = re.compile(r"^(?:by|von|por|par|door|written by|de)\s+[^\W\d_]+\s+[^\W\d_]+$", re.I)
-_PREVNEXT = re.compile(r"^(?:«|<<|←|‹)\s*\S|\S\s*(?:»|>>|→)$")
-_TAGS = re.compile(r"^(?:tags?|schlagw\S+|mots-cl\S+|étiquettes|etiquetas|palabras clave|palavras-chave|trefwoorden|labels|filed under)\s*:", re.I)
-_HERE = re.compile(r"^(?:you are here|sie sind hier|vous êtes ici|está (?:usted )?aquí|estás aquí|você está aqui|está aqui|u bent hier|u bevindt zich hier)\s*:?", re.I)
-_NOTE = re.compile(r"^(?:editor['’]s note|hinweis der redaktion|anmerkung der redaktion|note de la rédaction|nota de la redacción|nota da redação|noot van de redactie)\s*:", re.I)
-_HASH = re.compile(r"^(?:#\w+\s*){2,}$")
-_END = re.compile(r"[.!?:;。！？]['\"”’»)\]]*$")
-_NOISE = re.compile(r"\s*\((?:\d+/\d+|[a-z]+-[a-z]+|\d+)\)$")
 
-
-def _spell(line: str) -> str:
-    return _SPACES.sub(" ", _NUMBER.sub("0", line.lower())).strip()
+from fathomline.llm.keyword_spam import FUNCTION_WORDS
+
+# Furniture as sites in general print it; ~ stands for the name of a site.
+SEEDS = """
+Advertisement|Sponsored by our partners|Get our mobile app for iPhone and Android|Manage your consent preferences|We and selected third parties use cookies or similar technologies
+Cookie settings|Read our privacy statement to learn how your personal data are used|Follow ~ on Facebook, Instagram and YouTube|Sign in with Google|Create a free account
+Join thousands of readers and get the weekly digest in your inbox|Unsubscribe at any time|Share on WhatsApp|Copy link|Send this to someone by e-mail|Add a comment|Be the first to comment
+Recommended for you|Popular this week|Trending now|Up next|More stories like this|Read next: the garden in spring|All content is protected by copyright law|Terms and conditions apply|« Older post: the bridge | Newer post: the mill »|‹ Previous article|Next article ›|← Back to the list|Next →|The old mill was built when the town had no ...|In spring the gardens by the lake are full of …|« The long road from the village to the sea and back again in one summer | A short history of the mill beside the river and of its keepers »|« Warum der Fluss im Winter über die Felder tritt und was dann geschieht | Wie ein Boot aus Holz gebaut wird »|« Pourquoi la rivière déborde en hiver et ce que font les gens | Comment on construit un bateau en bois »|« Por qué el río se desborda en invierno y qué hace la gente | Cómo se construye un barco de madera »
+This article contains affiliate links|Views expressed are solely the writer's|Breadcrumb: Start » Topics » Garden|Go to top|Skip navigation|Toggle menu|Site map|Contact the editors|About the author
+By Anna Smith|Text: Peter Jones|Reported by Mary Brown on 4 May|Updated 3 hours ago|Reading time: 7 minutes|Topics: wood, garden, tools|Keywords: boats, rivers|Filed in: news, travel|Editors' remark: the names were changed
+Anzeige|Cookie-Einstellungen ändern|Mit der Nutzung dieser Website erklären Sie sich mit Cookies einverstanden|Folgen Sie uns auf Facebook|Newsletter abonnieren|Jetzt kostenlos registrieren|Per E-Mail weiterleiten|Kommentar schreiben
+Das könnte Sie auch interessieren|Meistgelesen|Zum Seitenanfang|Von Anna Schmidt|Aktualisiert vor 3 Stunden|Lesezeit: 7 Minuten|Themen: Holz, Garten|Sämtliche Inhalte sind urheberrechtlich geschützt|Anmerkung der Redaktion: die Namen wurden geändert
+Publicité|Gérer mes cookies|Suivez-nous sur Facebook|S'inscrire à la newsletter|Créer un compte gratuit|Envoyer par courriel|Ajouter un commentaire|À lire également|Les plus lus|Retour en haut|Par Anne Martin|Mis à jour il y a 3 heures
+Temps de lecture : 7 minutes|Thèmes : bois, jardin|Reproduction interdite sans autorisation|Remarque de la rédaction : les noms ont été changés|Publicidad|Configurar las cookies|Síguenos en Facebook|Suscríbete a nuestro boletín
+Crear una cuenta gratis|Enviar por correo|Añadir un comentario|Te puede interesar|Lo más leído|Ir arriba|Por Ana Martínez|Actualizado hace 3 horas|Tiempo de lectura: 7 minutos|Temas: madera, jardín|Prohibida la reproducción sin permiso
+Publicidade|Configurar cookies|Siga-nos no Facebook|Assine a nossa newsletter|Criar uma conta grátis|Enviar por e-mail|Adicionar um comentário|Leia também|As mais lidas|Ir para o topo|Por Ana Martins|Atualizado há 3 horas
+Tempo de leitura: 7 minutos|Temas: madeira, jardim|Proibida a reprodução sem autorização|Advertentie|Cookies beheren|Volg ons op Facebook|Schrijf je in voor onze nieuwsbrief|Gratis account aanmaken|Doorsturen per e-mail
+Plaats een reactie|Lees ook|Meest gelezen artikelen|Terug naar boven|Door Anna de Vries|Bijgewerkt 3 uur geleden|Leestijd: 7 minuten|Onderwerpen: hout, tuin|Overname zonder toestemming verboden|Opmerking van de redactie: de namen zijn veranderd
+""".strip().replace("\n", "|").split("|")
+
+_CODE = re.compile(r"https?://\S+|(?<!\S)/\S+|\b(?=[^\W\d_]*\d)(?=\d*[^\W\d_])\w+\b")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©@#|·›»«>:…]")
+_WORD = re.compile(r"[^\W\d_]+")
+_BULLET = re.compile(r"^(?:[-*•–]|\d{1,3}[.)]|[a-z]\))\s+\S")
+_NOISE = re.compile(r"\s*\((?:\d+/\d+|[a-z]+-[a-z]+|\d+)\)$")
+_CLOSERS = "\"'”’»)]"
+TEASER = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:\([^()]*\))?$")
+_NEXT = re.compile(r"^(?:«|<<|←|‹)\s*\S|\S\s*(?:»|>>|→|›)$")
+_SEPARATORS = "|·›»>•«/–"
+#: Log odds by the words of a line from which it is furniture without a look at its page.
+TOLD = 1.5
+#: Bound of what the form of a line and its place can say, and of what the form of a lone heading can.
+FORM, HEAD = 2.5, -0.4
+#: What a line that is cut off, or points to another page, says by its form.
+LINK = 3.0
+#: What it says that the sample holds the line itself on many pages.
+RECURS = 3.0
+
+
+def host_names(*hosts: str | None) -> frozenset[str]:
+    """What a site may call itself: the letters of its host's labels, the last label apart."""
+    out = set()
+    for h in hosts:
+        if h:
+            h = h.strip().lower().split("://")[-1].split("/")[0].split("@")[-1].split(":")[0]
+            for label in h.split(".")[:-1]:
+                name = "".join(c for c in label if c.isalpha())
+                if len(name) >= 4:
+                    out.add(name)
+    return frozenset(out)
+
+
+def tokens(line: str, names: frozenset[str] = frozenset()) -> list[str]:
+    """Lower-cased words and marks; numbers, codes and paths as 0, the site's own name as @."""
+    return ["@" if t in names else "0" if t[0].isdigit() else t for t in _TOKEN.findall(_CODE.sub("0", line.lower()))]
+
+
+def _bucket(n: int, *bounds: int) -> int:
+    return sum(n > b for b in bounds)
+
+
+def shape_features(line: str, toks: list[str]) -> list[str]:
+    """Features of the form of a stripped line, without its words."""
+    words = [t for t in toks if t[0].isalpha() or t == "@"]
+    n = len(words)
+    end = line.rstrip(_CLOSERS)[-1:] or line[-1:]
+    end = "a" if end.isalpha() else "0" if end.isdigit() else end if end in ".!?:;…,|»›" else "%"
+    first = line[:1]
+    first = "A" if first.isupper() else "a" if first.isalpha() else "0" if first.isdigit() else first if first in "[#©«»<>‹›←•*-–¿\"“" else "%"
+    caps = sum(w[:1].isupper() for w in _WORD.findall(line))
+    cap = _bucket(10 * caps // max(1, n), 0, 3, 6, 9)
+    fn = _bucket(10 * sum(w in FUNCTION_WORDS for w in words) // max(1, n), 0, 1, 3)
+    size = _bucket(n, 0, 1, 2, 3, 5, 8, 13, 20, 40)
+    seps = _bucket(sum(line.count(c) for c in _SEPARATORS), 0, 1, 2, 4)
+    out = [f"z:{size}", f"e:{end}", f"f:{first}", f"c:{cap}", f"n:{fn}", f"s:{seps}", f"ze:{size}{end}", f"zc:{size}{cap}", f"zn:{size}{fn}", f"zs:{size}{seps}", f"k:{_bucket(line.count(','), 0, 1, 3)}"]
+    if TEASER.search(line):
+        out.append("teaser")
+    if "://" in line:
+        out.append("url")
+    return out
+
+
+def word_features(toks: list[str]) -> list[str]:
+    """Features of the words of a line."""
+    said = [t for t in dict.fromkeys(toks) if _says(t)]
+    return [a + " " + b for a, b in zip(toks, toks[1:]) if _says(a) or _says(b)] + said
+
+
+def _says(t: str) -> bool:
+    return t[0].isalpha() or t == "@" or t == "©"
+
+
+def edge_features(toks: list[str]) -> list[str]:
+    """Features of the first and last words of a line."""
+    if not toks:
+        return []
+    out = ["^ " + toks[0], toks[-1] + " $"]
+    if len(toks) >= 2:
+        out += (f"^ {toks[0]} {toks[1]}", f"{toks[-2]} {toks[-1]} $")
+    if len(toks) >= 3:
+        out.append(f"^ {toks[0]} {toks[1]} {toks[2]}")
+    return [f for f in out if any(_says(t) for t in f.split())]
+
+
+def place_features(i: int, n: int) -> tuple[str, str]:
+    """Features of the place of line i of the n non-blank lines of a page."""
+    return f"top:{_bucket(i, 0, 1, 2, 3, 5)}", f"end:{_bucket(n - 1 - i, 0, 1, 2, 3, 5)}"
+
+
+def spread(words: list[str]) -> float:
+    """Weight of one word feature of a line: a long line's words count by their mean."""
+    return min(1.0, 12.0 / len(words)) if words else 0.0
 
 
 class LineModel:
     """Log odds of furniture for lines; positive: furniture."""
 
-    def __init__(self, prose: list[str] = (), smooth: float = 0.3):
-        own, other = Counter(), Counter()
-        self.menu: set[str] = set()
-        rows = FURNITURE.split("\n")
-        for n, row in enumerate(rows):
-            for line in row.split("|") if "accept" not in row and "aceptar" not in row and "annehmen" not in row and "aceitar" not in row and "toestaan" not in row and "accepter" not in row else [row]:
-                own.update(self._grams(line))
-                if n < 6:
-                    self.menu.add(line.strip())
-        from fathomline.llm.residue import ERROR, FILLER  # what an error or filler page says is its body
-
-        for row in [*CONTENT.split("\n"), *PROSE_LINES.split("\n"), *ERROR, *FILLER, *prose]:
-            for line in row.split("|"):
-                other.update(self._grams(line))
-        self.odds = {g: max(-2.5, min(3.0, math.log((own[g] + smooth) / (other[g] * 1.5 + smooth)))) for g in {*own, *other}}
-        self.seen: dict[str, tuple[float, str]] = {}
-        # seed lines as (what comes before the names, what comes after the last, words of names at most)
-        self.whole: set[str] = set()
-        self.framed: list[tuple[str, str, int]] = []
-        for row in rows[6:]:
-            for line in (*row.split("|"), row):
-                line = _spell(line.strip(" |"))
-                if "@" not in line:
-                    if len(line) > 3:
-                        self.whole.add(line)
-                elif len(line.replace("@", "").strip()) > 5:
-                    self.framed.append((line[: line.index("@")], line[line.rindex("@") + 1 :], len(line) + 40))
-
-    def known(self, line: str) -> bool:
-        """Whether a line is a seed line, names and numbers apart."""
-        x = _spell(line)
-        return x in self.whole or any(x.startswith(a) and x.endswith(b) and len(x) <= n for a, b, n in self.framed)
-
-    @staticmethod
-    def _grams(line: str) -> list[str]:
-        words = _TOKEN.findall(line.lower())
-        return words + [a + " " + b for a, b in zip(words, words[1:])]
-
-    def score(self, line: str) -> tuple[float, str]:
-        """(log odds, shape): shape is ``menu``, ``teaser``, ``tags``, ``title`` or ``text``."""
-        got = self.seen.get(line)
-        if got is None:
-            got = self._score(line)
-            if len(line) < 200:
-                if len(self.seen) > 100_000:
-                    self.seen.clear()
-                self.seen[line] = got
+    def __init__(self, weights: dict[str, float], bias: float, recurring: frozenset[str] = frozenset()):
+        self.weights, self.bias, self.recurring = weights, bias, recurring
+        self.seen: dict[str, tuple[float, str, float]] = {}
+
+    def score(self, line: str, names: frozenset[str] = frozenset()) -> tuple[float, str, float]:
+        """(log odds without the place, shape, the words' part of the odds): shape is ``menu``, ``teaser``, ``next``, ``tags``, ``title`` or ``text``."""
+        low = line.lower()
+        named = any(x in low for x in names)
+        if not named and (got := self.seen.get(line)) is not None:
+            return got
+        raw = _NOISE.sub("", line.strip()) or line
+        toks = tokens(raw, names)
+        get = self.weights.get
+        ws = word_features(toks)
+        told = sum(get(f, 0.0) for f in edge_features(toks)) + spread(ws) * sum(get(f, 0.0) for f in ws)
+        if self.recurring and " ".join(toks) in self.recurring:
+            told += RECURS
+        shape = self.shape(raw, toks)
+        form, most = self.bias + sum(get(f, 0.0) for f in shape_features(raw, toks)), HEAD if shape == "title" else FORM
+        got = (LINK + max(-1.0, min(3.0, told)) if shape in ("teaser", "next") else max(-FORM, min(most, form)) + told), shape, told
+        if not named and len(line) < 200:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[line] = got
         return got
 
-    def _score(self, line: str) -> tuple[float, str]:
-        raw = _NOISE.sub("", line.strip())
-        n = len(raw)
-        if n > 60 and raw[-1] == "." and not _TEASER.search(raw):
-            head = raw[:40].lower()
-            if _NOTE.match(head):
-                return 8.0, "text"
-        elif _TEASER.search(raw):
-            return 6.0, "teaser"
-        if _NOTE.match(raw):
-            return 8.0, "text"
-        if _HERE.match(raw):
-            return 9.0, "menu"
-        if _TAGS.match(raw):
-            return 7.0, "tags"
-        if _HASH.match(raw):
-            return 4.0, "tags"
-        if _BYLINE.match(raw):
-            return 6.0, "text"
-        if n <= 260 and _PREVNEXT.search(raw) and not raw.startswith('"'):
-            if raw.startswith("«") and raw.rstrip(".").endswith("»") and "|" not in raw and _END.search(raw):
-                return -2.0, "text"
-            return 6.0, "menu"
-        low = raw.lower().strip("[]•>*»-–| \t")
-        if low in self.menu:
-            return 7.0, "menu"
-        parts = [p.strip("[]•>*»-– \t").lower() for p in _SEPARATOR.split(raw)]
-        parts = [p for p in parts if p]
-        if len(parts) >= 2:
-            known = sum(p in self.menu for p in parts)
-            if known == len(parts):
-                return 9.0, "menu"
-            if parts[0] in self.menu and (known >= 2 or len(parts) == 2 or known / len(parts) >= 0.5):
-                return 7.0, "menu"
-            if known >= 2 and known / len(parts) >= 0.5:
-                return 7.0, "menu"
-        words = raw.split()
-        if n > 320:
-            return -6.0, "text"
-        if n < 160 and self.known(raw):
-            return 8.0, "text"
-        total = sum(self.odds.get(g, 0.0) for g in self._grams(raw))
-        total = max(-6.0, min(8.0, total * min(1.0, 9.0 / max(1, len(words)) + 0.25)))
-        if not _END.search(raw):
-            if len(words) <= 16:
-                return total, "title"
-            return total, "text"
-        # a sentence: words that furniture never uses speak against it
-        own = _TOKEN.findall(raw.lower())
-        strange = sum(self.odds.get(w, 0.0) < 0.3 for w in own) / max(1, len(own))
-        return total - 1.0 - 4.0 * strange, "text"
-
-    def body(self, title: str, lines: list[str]) -> list[str]:
+    @staticmethod
+    def shape(raw: str, toks: list[str]) -> str:
+        if TEASER.search(raw):
+            return "teaser"
+        if _NEXT.search(raw) and not (raw[0] == "«" and raw.rstrip(".")[-1:] == "»" and "|" not in raw):
+            return "next"
+        if raw.startswith("#") or ":" in raw[:24] and raw.count(",") >= 1 and raw[-1:] not in ".!?":
+            return "tags"
+        if sum(raw.count(c) for c in _SEPARATORS) >= 1 and len(toks) <= 40 and raw[-1:] not in ".!?":
+            return "menu"
+        end = raw.rstrip(_CLOSERS)[-1:]
+        if end in ".!?:;。！？" and end:
+            return "text"
+        return "title" if len(toks) <= 18 else "text"
+
+    def place(self, i: int, n: int) -> float:
+        a, b = place_features(i, n)
+        return self.weights.get(a, 0.0) + self.weights.get(b, 0.0)
+
+    def sure(self, line: str, names: frozenset[str] = frozenset()) -> bool:
+        """Furniture by its words, whatever its shape."""
+        total, _, told = self.score(line, names)
+        return total >= 2.0 and told >= TOLD
+
+    def body(self, lines: list[str], names: frozenset[str] = frozenset()) -> list[str]:
         """The lines without what is surely furniture."""
-        return [x for x in lines if self.score(x)[0] < 3.0]
+        return [x for x in lines if not self.sure(x, names)]
+
+
+def is_item(line: str) -> bool:
+    return _BULLET.match(line) is not None
+
+
+def fit(rows: list[tuple[list[str], list[str], list[str], float, float]]) -> tuple[dict[str, float], float]:
+    """(weights, bias) from rows of (form and place, ends, words, label, weight).
+
+    Form and words are fitted apart, so that neither explains the other away: a
+    known word must say so whatever the length of its line, and unknown words
+    say nothing.
+    """
+    form, bias = _logistic([((r[0], 1.0),) for r in rows], rows, True)
+    words, _ = _logistic([((r[1], 1.0), (r[2], spread(r[2]))) for r in rows], rows, False)
+    return form | words, bias
+
+
+def _logistic(parts, rows, intercept: bool, rounds: int = 80, decay: float = 1e-4) -> tuple[dict[str, float], float]:
+    """A logistic model by Adam on all rows at once; both classes weigh the same."""
+    import numpy as np
+
+    index: dict[str, int] = {}
+    ids, owner, value = [], [], []
+    for r, groups in enumerate(parts):
+        for fs, v in groups:
+            ids += [index.setdefault(f, len(index)) for f in fs]
+            owner += [r] * len(fs)
+            value += [v] * len(fs)
+    if not ids:
+        return {}, 0.0
+    seen = np.bincount(ids, minlength=len(index))
+    i, o, x = np.array(ids, np.int64), np.array(owner, np.int64), np.array(value)
+    y, c = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    for k in (0.0, 1.0):
+        if (total := c[y == k].sum()) > 0:
+            c[y == k] *= len(rows) / 2 / total
+    w = np.zeros(len(index) + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        z = np.bincount(o, weights=x * w[i], minlength=len(rows)) + w[-1]
+        d = c * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = np.append(np.bincount(i, weights=x * d[o], minlength=len(index)), d.sum() if intercept else 0.0) / len(rows) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return {f: float(w[n]) for f, n in index.items() if abs(w[n]) > 0.02 and (seen[n] > 1 or " " not in f)}, float(w[-1])

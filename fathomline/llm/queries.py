@@ -6,6 +6,7 @@ from fathomline.llm import boilerplate, capping, encoding, keyword_spam, languag
 
 QUERIES = {
     "p1_found": boilerplate.p1_found,
+    "p1_bodies": boilerplate.p1_bodies,
     "p2_found": residue.p2_found,
     "p3_found": site_lines.p3_found,
     "p4_found": languages.p4_found,
