@@ -1,15 +1,21 @@
 """Problem 6: at most so many records per contributor, the best ones kept.
 
-Distributed suitor b-matching. A record proposes to all of its contributors at
-once; a contributor holds its best ``capacity`` proposals. A record that
-stands within the capacity of all its contributors is matched; one of which a
-contributor is full is displaced and withdraws everywhere, so that its place
-falls to the next proposal. Rounds go on until nothing is undecided; the result
-is that of taking records from best to worst whenever all their contributors
-have room. With one contributor a record, the first round decides everything.
-
-Ranks within a contributor come from a range partitioning on (contributor,
-order), so that a contributor with a third of all records spreads over tasks.
+Distributed suitor b-matching. In each round every undecided record proposes to
+all of its contributors; a contributor holds its best proposals up to the places
+it has left and displaces the weaker ones. A record that all of its contributors
+hold is matched for good: no better proposal is left that could displace it. The
+places of matched records are gone; a record one of whose contributors has no
+place left is refused and withdraws everywhere, so that what it displaced may be
+held in the next round. Each round decides at least the best undecided record of
+all, so the rounds end; the result is that of taking records from best to worst
+whenever all their contributors have room. Records of one contributor each are
+decided in the first round. Long chains of displacement, in which a round
+decides few records, are finished by one task once the undecided proposals are
+few (``FINISH``, an exact sequential pass).
+
+Ranks among the proposals of a contributor come from a range partitioning on
+(contributor, weight, id): however many proposals one contributor has, and
+however many of one weight, they spread over tasks.
 
 Defined cases: a record without contributors is not limited and is kept; null
 contributors in a list are ignored; repeated rows of a record count once; null
@@ -24,64 +30,77 @@ from pyspark.sql import functions as F
 from fathomline.io import union_all
 from fathomline.llm.common import shared_checkpoints, site_of, table
 
-MAX_ROUNDS = 60
+#: Undecided proposals that one task may finish, from the third round on.
+FINISH = 100_000
 
 
-def _ranked(edges: DataFrame) -> DataFrame:
-    """Adds rank, from 1, of each edge within its contributor by (weight desc, id).
+def _held(proposals: DataFrame) -> DataFrame:
+    """Adds held: whether the contributor holds the proposal, being among its best ``cap`` by (weight desc, id)."""
+    order = ["contributor", F.desc_nulls_last("weight"), "id"]
+    tasks = int(proposals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = proposals.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    p = p.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).checkpoint()
+    runs = p.groupBy("contributor", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # one row per contributor and task
+    earlier = F.sum("n").over(Window.partitionBy("contributor").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("contributor", "part", "first", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    rank = F.col("earlier") + F.col("at") - F.col("first") + 1
+    return p.join(runs, ["contributor", "part"]).withColumn("held", rank <= F.col("cap")).drop("at", "part", "first", "earlier")
 
-    Every contributor's rows are split by the class of their weight; a class of
-    one single weight splits further by the head of the id. The places before
-    a class come from the class counts (at most 1,026 times the heads a
-    contributor), and only the rows of one class are sorted together.
-    """
-    keys = ["contributor", "sort_key"]
-    stats = edges.groupBy(keys).agg((F.min_by("weight", "weight").eqNullSafe(F.max_by("weight", "weight"))).alias("same"))
-    e = edges.join(stats, keys).withColumn("head", F.when(F.col("same"), F.substring("id", 1, 2)).otherwise(F.lit("")))
-    counts = e.groupBy(*keys, "head").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("contributor").orderBy("sort_key", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before", before).drop("n")
-    e = e.withColumn("local", F.row_number().over(Window.partitionBy(*keys, "head").orderBy(F.desc("weight"), "id")))
-    return e.join(counts, [*keys, "head"]).withColumn("rank", F.col("before") + F.col("local")).drop("head", "same", "before", "local")
 
+def _finished(live: DataFrame) -> DataFrame:
+    """(id) of the records that an exact sequential pass over the undecided proposals keeps, in one task."""
+
+    def run(batches):
+        import pandas as pd
 
-def _sort_key(weight: Column) -> Column:
-    """1,024 classes over the unit interval, 0 for the best; values outside are clamped, the last for none."""
-    return F.when(weight.isNull(), F.lit(1025)).otherwise(F.lit(1024) - F.floor(F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)) * 1024)).cast("int")
+        frames = list(batches)
+        if not frames:
+            return
+        d = pd.concat(frames)
+        room = dict(zip(d["contributor"], d["cap"]))
+        kept = []
+        best = d.groupby("id", sort=False).agg(contributors=("contributor", list), weight=("weight", "first")).reset_index()
+        for i, cs, _ in best.sort_values(["weight", "id"], ascending=[False, True], na_position="last").itertuples(index=False):
+            if all(room[c] > 0 for c in cs):
+                kept.append(i)
+                for c in cs:
+                    room[c] -= 1
+        yield pd.DataFrame({"id": pd.Series(kept, dtype=d["id"].dtype)})
 
+    return live.select("id", "contributor", "weight", "cap").coalesce(1).mapInPandas(run, f"id {live.schema['id'].dataType.simpleString()}")
 
-def suitor_matching(records: DataFrame, capacity: Column | int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(id, kept) for records (id string, contributors array<string>, weight double).
+
+def suitor_matching(records: DataFrame, capacity: Column | int, finish: int = FINISH) -> DataFrame:
+    """(id, kept) for records (id, contributors array<string>, weight double).
 
     capacity is an integer or a column over the frame's columns (for instance a
-    joined one); it must be the same for all rows of a contributor.
+    joined one); it must be the same for all rows of a contributor. Of repeated
+    rows of an id the one of greatest weight counts.
     """
+    shared_checkpoints(records.sparkSession)
     cap = F.lit(capacity) if isinstance(capacity, int) else capacity
     w = F.when(~F.isnan("weight"), F.col("weight"))
-    base = records.select("id", F.array_distinct(F.filter(F.coalesce("contributors", F.array()), lambda c: c.isNotNull())).alias("cs"), w.alias("weight"), cap.cast("long").alias("cap")).dropDuplicates(["id"])
-    edges = base.select("id", F.explode("cs").alias("contributor"), "weight", "cap", F.size("cs").alias("degree"), _sort_key(F.col("weight")).alias("sort_key"))
-    single = _ranked(edges)
-    verdict = single.groupBy("id").agg(F.bool_and(F.col("rank") <= F.col("cap")).alias("in_all"), F.max("degree").alias("degree"))
-    many = edges.where("degree > 1").limit(1).count()
-    if not many:
-        return union_all(base.where(F.size("cs") == 0).select("id", F.lit(True).alias("kept")), verdict.select("id", F.col("in_all").alias("kept")))
-    shared_checkpoints(records.sparkSession)
-    live = edges.checkpoint()
-    kept = None
-    for _ in range(max_rounds):
-        ranked = _ranked(live)
-        good = ranked.groupBy("id").agg(F.bool_and(F.col("rank") <= F.col("cap")).alias("in_all")).where("in_all").select("id").checkpoint()
+    cs = F.array_sort(F.array_distinct(F.filter(F.coalesce("contributors", F.array()), lambda c: c.isNotNull())))
+    base = records.select("id", w.alias("weight"), cs.alias("cs"), cap.cast("long").alias("cap")).groupBy("id")
+    base = base.agg(F.max(F.struct("weight", "cs", "cap")).alias("r")).select("id", "r.*").checkpoint()
+    live = base.select("id", F.explode("cs").alias("contributor"), "weight", "cap", F.size("cs").alias("degree"))
+    kept, rounds = None, 0
+    while True:
+        rounds += 1
+        answers = _held(live)
+        matched = answers.groupBy("id").agg(F.bool_and("held").alias("held"), F.max("degree").alias("degree"))
+        good = matched.where("held").select("id", F.lit(True).alias("kept")).checkpoint()
         kept = good if kept is None else union_all(kept, good)
-        won = live.join(good, "id", "left_semi").groupBy("contributor").agg(F.count("*").alias("won"))
-        rest = live.join(good, "id", "left_anti").join(won, "contributor", "left").withColumn("cap", F.col("cap") - F.coalesce("won", F.lit(0))).drop("won")
-        full = rest.where("cap <= 0").select("id").distinct()
-        live = rest.join(full, "id", "left_anti").checkpoint()
-        if live.isEmpty():
+        taken = live.join(good, "id", "left_semi").groupBy("contributor").agg(F.count("*").alias("taken"))
+        rest = live.join(good, "id", "left_anti").join(taken, "contributor", "left").withColumn("cap", F.col("cap") - F.coalesce("taken", F.lit(0))).drop("taken")
+        refused = rest.where("cap <= 0").select("id").distinct()
+        live = rest.join(refused, "id", "left_anti").checkpoint()
+        left = live.count()
+        if left and rounds >= 3 and left <= finish:
+            kept, left = union_all(kept, _finished(live).withColumn("kept", F.lit(True))), 0
+        if not left:
             break
-    else:
-        raise RuntimeError("suitor rounds did not end; raise max_rounds")
-    ids = kept.withColumn("kept", F.lit(True))
-    return base.select("id", (F.size("cs") == 0).alias("free")).join(ids, "id", "left").select("id", (F.col("free") | F.coalesce("kept", F.lit(False))).alias("kept"))
+    return base.select("id", (F.size("cs") == 0).alias("free")).join(kept, "id", "left").select("id", (F.col("free") | F.coalesce("kept", F.lit(False))).alias("kept"))
 
 
 def page_records(docs: DataFrame) -> DataFrame:
@@ -93,7 +112,8 @@ def page_records(docs: DataFrame) -> DataFrame:
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
-    records = page_records(table(spark, sf_dir, "docs"))
+    shared_checkpoints(spark)
+    records = page_records(table(spark, sf_dir, "docs")).checkpoint()
     total = records.agg(F.greatest(F.lit(5), F.floor(F.count("*") / 50)).alias("most"))
     r = records.crossJoin(F.broadcast(total))  # one row
     return suitor_matching(r, F.col("most")).where(~F.col("kept")).select("id")

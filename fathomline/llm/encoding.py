@@ -1,11 +1,13 @@
 """Problem 8: encode a corpus with a public byte-level BPE vocabulary.
 
-Each text is split by the vocabulary's published pattern. Short splits are
-merged directly and remembered; longer ones run through a left-to-right
-transducer: the last token of every prefix is the one suffix token that may
-follow the last token of what stands before it, and a token is emitted as soon
-as the lookahead that the merge list can ever need has been read, so memory
-stays constant however long the split is.
+Each text is split by the vocabulary's published pattern, and every split runs
+through a left-to-right transducer: the last token of every prefix is the one
+suffix token that may follow the last token of what stands before it. Whatever
+is read later, the tokens to come begin at one of the last ``longest token``
+positions, so a token is emitted as soon as the paths back from all of these
+meet behind it. The merge list bounds how far that can be
+(``sufficient_lookahead``), so memory stays constant however long the split is.
+Results of short splits are remembered.
 
 Defined cases: null and empty texts give an empty list; strings that look like
 special tokens are ordinary text; the vocabulary folder is a parameter.
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -26,10 +27,12 @@ from fathomline.llm.common import table
 VOCABULARY_DIR = "/opt/tokenizers"
 # Fixed value: the split pattern published with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Splits of at most so many bytes are merged directly.
-SHORT = 48
-#: Remembered splits; the memory is emptied when full.
-REMEMBER = 200_000
+#: Remembered splits of at most so many characters; the memory is emptied when full.
+REMEMBER, SHORT = 200_000, 192
+#: Bytes read between two attempts to emit.
+STRIDE = 64
+#: Bytes handed to the transducer at once.
+CHUNK = 4_096
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -82,16 +85,20 @@ def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
 
 
 class Transducer:
-    """Encodes one split of any length in one pass and constant memory."""
+    """Encodes a split of any length in one pass and bounded memory.
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int):
-        self.ranks, self.lookahead = ranks, lookahead
-        self.by_tail: dict[bytes, list[int]] = {}
+    ``pending`` is the most bytes that one call held back, for comparison with the lookahead.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        tails: dict[bytes, set[int]] = {}
         for t in ranks:
-            self.by_tail.setdefault(t[-2:], []).append(len(t))
-        self.by_tail = {k: sorted(set(v), reverse=True) for k, v in self.by_tail.items()}
-        self.longest = max(map(len, ranks))
+            tails.setdefault(t[-2:], set()).add(len(t))
+        self.by_tail = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
+        self.longest = max(map(len, ranks), default=1)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pending = 0
 
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether token b can stand right after token a: merging both as one text gives them back."""
@@ -103,42 +110,61 @@ class Transducer:
         return known
 
     def encode(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Ids of the concatenated chunks, each emitted once it is stable."""
-        keep = self.lookahead + 2 * self.longest
-        last: deque[bytes] = deque([b""])  # last[i - start]: last token of the prefix of length i
-        tail = bytearray()  # the bytes from start on
-        start = 0
+        """Ids of the concatenated chunks, each emitted once no byte to come can change it."""
+        ranks, by_tail, pairs = self.ranks, self.by_tail, self.pairs
+        last: list[bytes] = [b""]  # last[i]: last token of the prefix that ends i bytes after the emitted ones
+        tail = b""
         for chunk in chunks:
-            for byte in chunk:
-                tail.append(byte)
-                i = len(tail)
-                two = bytes(tail[-2:])
-                lengths = self.by_tail.get(two, ())
-                found = None
-                for n in (*lengths, 1) if 1 not in lengths else lengths:
-                    if n <= i:
-                        t = bytes(tail[i - n :])
-                        if t in self.ranks:
+            at = 0
+            while at < len(chunk):
+                piece = chunk[at : at + STRIDE]
+                at += len(piece)
+                tail += piece
+                for i in range(len(last), len(tail) + 1):
+                    found = None
+                    for n in by_tail.get(tail[max(0, i - 2) : i], ()) if i > 1 else ():
+                        if n <= i and (t := tail[i - n : i]) in ranks:
                             before = last[i - n]
-                            if (start == 0 and i == n) or before is None or (before == b"" and i == n) or self.follows(before, t):
+                            if not before or pairs.get((before, t)) or self.follows(before, t):
                                 found = t
                                 break
-                if found is None:
-                    raise ValueError("the vocabulary lacks a byte")
-                last.append(found)
-                if i >= 2 * keep:
-                    cut, out = self._stable(last, i, i - keep)
-                    yield from out
+                    if found is None:
+                        found = tail[i - 1 : i]
+                        if found not in ranks:
+                            raise ValueError("the vocabulary lacks a byte")
+                    last.append(found)
+                if len(tail) > self.longest:
+                    cut = self._meeting(last, len(tail))
                     if cut:
-                        del tail[:cut]
-                        for _ in range(cut):
-                            last.popleft()
-                        start += cut
-        out = self._trace(last, len(tail))
-        yield from (self.ranks[t] for t in out)
+                        yield from (ranks[t] for t in self._trace(last, cut))
+                        tail, last = tail[cut:], last[cut:]
+                    self.pending = max(self.pending, len(tail))
+        yield from (ranks[t] for t in self._trace(last, len(tail)))
+
+    def _meeting(self, last: list[bytes], i: int) -> int:
+        """The position through which the paths back from all of the last ``longest`` positions go."""
+        heads = list(range(max(0, i - self.longest + 1), i + 1))
+        on = bytearray(i + 1)
+        for h in heads:
+            on[h] = 1
+        left, p = len(heads), i
+        while left > 1:
+            while not on[p]:
+                p -= 1
+            on[p] = 0
+            q = p - len(last[p]) if p else 0
+            if p == 0:
+                return 0
+            if on[q]:
+                left -= 1
+            else:
+                on[q] = 1
+        while not on[p]:
+            p -= 1
+        return p
 
     @staticmethod
-    def _trace(last: deque[bytes], i: int) -> list[bytes]:
+    def _trace(last: list[bytes], i: int) -> list[bytes]:
         out = []
         while i > 0:
             t = last[i]
@@ -146,35 +172,22 @@ class Transducer:
             i -= len(t)
         return out[::-1]
 
-    def _stable(self, last: deque[bytes], i: int, limit: int) -> tuple[int, list[int]]:
-        cut, out = 0, []
-        for t in self._trace(last, i):
-            if cut + len(t) > limit:
-                break
-            cut += len(t)
-            out.append(self.ranks[t])
-        return cut, out
-
 
 class Encoder:
     """Text to ids by one vocabulary; remembers splits it has seen."""
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int, pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.lookahead, self.long = lookahead, None
+        self.transducer = Transducer(ranks)
         self.seen: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, s: str) -> tuple[int, ...]:
+    def piece(self, s: str) -> Iterable[int]:
         b = s.encode("utf-8", "replace")
         if b in self.ranks:
             return (self.ranks[b],)
-        if len(b) <= SHORT:
-            return tuple(self.ranks[p] for p in merge_bytes(b, self.ranks))
-        if self.long is None:
-            self.long = Transducer(self.ranks, self.lookahead)
-        return tuple(self.long.encode([b]))
+        return self.transducer.encode(b[i : i + CHUNK] for i in range(0, len(b), CHUNK))
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
@@ -182,11 +195,11 @@ class Encoder:
         for s in self.split(text or ""):
             if (got := seen.get(s)) is None:
                 got = self.piece(s)
-                if len(s) <= 4 * SHORT:
+                if len(s) <= SHORT:
                     if len(seen) >= REMEMBER:
                         seen.clear()
-                    seen[s] = got
-            ids += got
+                    got = seen[s] = tuple(got)
+            ids.extend(got)
         return ids
 
 
@@ -206,10 +219,9 @@ class Decoder:
 
 
 def _prepared(spark, vocabulary: str):
-    """The vocabulary's bytes (under 1 MB, whatever the corpus) and its lookahead, for all tasks."""
+    """The vocabulary's bytes, for all tasks (under 1 MB, whatever the corpus)."""
     with open(vocabulary, "rb") as f:
-        data = f.read()
-    return spark.sparkContext.broadcast((data, sufficient_lookahead(parse_ranks(data))))
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{VOCABULARY_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -220,8 +232,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab
         import numpy as np
         import pyarrow as pa
 
-        data, lookahead = shared.value
-        enc = Encoder(parse_ranks(data), lookahead)
+        enc = Encoder(parse_ranks(shared.value))
         for b in batches:
             flat, ends = [], [0]
             for t in b.column(1):
@@ -241,7 +252,7 @@ def decoded(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary
     def run(batches):
         import pyarrow as pa
 
-        dec = Decoder(parse_ranks(shared.value[0]))
+        dec = Decoder(parse_ranks(shared.value))
         for b in batches:
             out = [dec.decode(x.as_py() or []) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["k", "text"])

@@ -4,8 +4,8 @@ Pigeonhole edit matching on words. Any window of ``min_words`` item words holds
 at least ``errors + 1`` whole pieces when the item is cut into pieces of
 ``(min_words + 1) // (errors + 2)`` words, so a passage with at most ``errors``
 word edits keeps one piece unchanged. Exact piece hits are found in each text,
-extended along their diagonal, and what could reach the window is verified with
-Myers' bit-parallel distance.
+and every window of the item about a hit that could still be within the budget
+is verified with Myers' bit-parallel distance on words, which alone decides.
 
 The items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, so that
 what is broadcast has a bound whatever the size of the test set.
@@ -97,7 +97,7 @@ class Matcher:
         return found
 
     def _verify(self, ws: list[str], i: int, n: int, j: int, found: dict[int, tuple[int, int]]) -> int:
-        """Looks at the run about a hit; returns where it ends."""
+        """Verifies the windows about a hit; returns where the unchanged run about it ends."""
         item = self.items[n][1]
         a, b, size, limit = i, j, len(ws), len(item)
         while a and b and ws[a - 1] == item[b - 1]:
@@ -105,24 +105,25 @@ class Matcher:
         c, d = i + self.m, j + self.m
         while c < size and d < limit and ws[c] == item[d]:
             c, d = c + 1, d + 1
-        run = c - a
-        best = found.get(n, (0, self.e + 1))
-        if run >= self.w:
-            found[n] = (max(best[0], run), 0)
-        elif self.e and best[1] > 1:
-            reach = run + self._beyond(ws, item, c, d, 1) + self._beyond(ws, item, a - 1, b - 1, -1)
-            if reach < self.w - self.e:
-                return c
-            span = self.w + self.e
-            for s in range(max(0, d - self.w), min(b, limit - self.w) + 1):
-                x = a - (b - s)
-                far = myers_distance(item[s : s + self.w], ws[max(0, x - self.e) : max(0, x) + span + self.e], self.e)
-                if far <= self.e:
-                    best = (max(best[0], run), min(best[1], far))
-            if best[1] <= self.e:
-                found[n] = best
+        run, best = found.get(n, (0, self.e + 1))
+        run = max(run, c - a)
+        for s in self._windows(ws, item, a, b, c, d):
+            if best == 0:
+                break
+            x = a - (b - s)
+            best = min(best, myers_distance(item[s : s + self.w], ws[max(0, x - self.e) : max(0, x) + self.w + 2 * self.e], self.e))
+        if best <= self.e:
+            found[n] = (run, best)
         return c
 
+    def _windows(self, ws: list[str], item: list[str], a: int, b: int, c: int, d: int):
+        """Starts of the item windows that can be within the budget of the text about the run ws[a:c] = item[b:d]; whole ones first."""
+        first, last = max(0, d - self.w), min(b, len(item) - self.w)
+        if c - a >= self.w:  # any window inside the run
+            yield b
+        elif self.e and (c - a) + self._beyond(ws, item, c, d, 1) + self._beyond(ws, item, a - 1, b - 1, -1) >= self.w - self.e:
+            yield from range(first, last + 1)
+
     def _beyond(self, ws: list[str], item: list[str], c: int, d: int, step: int) -> int:
         """An upper bound of the item words matched past an end of the run with all errors spent there."""
         if self.e > 1:
@@ -188,6 +189,12 @@ def p9_found(spark, sf_dir: str) -> DataFrame:
     return found.where("distance = 0").select("doc_id", "item_id")
 
 
+def p9_near(spark, sf_dir: str) -> DataFrame:
+    """Texts that hold a window of an item with one changed, added or dropped word, and no unchanged one."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("distance > 0").select("doc_id", "item_id", "distance")
+
+
 def p9_leaked_items(spark, sf_dir: str) -> DataFrame:
     """Which items leaked, in how many texts, whole windows and nearly whole ones."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

@@ -18,6 +18,7 @@ QUERIES = {
     "near_duplicate_pages": near_dups.near_duplicate_pages,
     "p8_ids": encoding.p8_ids,
     "p9_found": leakage.p9_found,
+    "p9_near": leakage.p9_near,
     "p9_leaked_items": leakage.p9_leaked_items,
     "p10_found": line_states.p10_found,
     "p10_statistics": line_states.p10_statistics,

@@ -1,6 +1,5 @@
 """Training-data operators: edge cases, brute force, round trips, held-out accuracy."""
 
-import base64
 import random
 from collections import defaultdict
 
@@ -58,16 +57,39 @@ def test_capping_one_contributor_ties_and_voids(spark):
     assert {r["id"] for r in out.where("kept").collect()} == {"i4", "i0", "i1", "i6"}
 
 
-def test_capping_several_contributors_is_greedy(spark):
-    g = random.Random(3)
-    rows = [(f"r{i:03d}", g.sample(["a", "b", "c", "d", "e"], g.randint(0, 3)), g.choice([None, 0.1, 0.5, 0.9, g.random()])) for i in range(120)]
-    got = {r["id"]: r["kept"] for r in capping.suitor_matching(spark.createDataFrame(rows, "id string, contributors array<string>, weight double"), 9).collect()}
-    room, want = defaultdict(lambda: 9), {}
+def greedy_capping(rows, most):
+    room, want = defaultdict(lambda: most), {}
     for i, cs, w in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
         want[i] = all(room[c] > 0 for c in cs)
         for c in cs:
             room[c] -= want[i]
-    assert got == want
+    return want
+
+
+RECORDS = "id string, contributors array<string>, weight double"
+
+
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_capping_several_contributors_is_greedy(spark, finish):
+    g = random.Random(3)
+    rows = [(f"r{i:03d}", g.sample(["a", "b", "c", "d", "e"], g.randint(0, 3)), g.choice([None, 0.1, 0.5, 0.9, g.random()])) for i in range(120)]
+    got = {r["id"]: r["kept"] for r in capping.suitor_matching(spark.createDataFrame(rows, RECORDS), 9, finish).collect()}
+    assert got == greedy_capping(rows, 9)
+
+
+def test_capping_ends_on_a_long_chain(spark):
+    rows = [(f"r{i:03d}", [f"c{i:03d}", f"c{i + 1:03d}"], 1 - i / 1000) for i in range(130)]  # each record displaces the next
+    got = {r["id"]: r["kept"] for r in capping.suitor_matching(spark.createDataFrame(rows, RECORDS), 1).collect()}
+    assert got == greedy_capping(rows, 1)
+
+
+def test_capping_of_one_hot_contributor_spreads(spark):
+    d = spark.range(200_000).select(F.concat(F.lit("same prefix "), F.format_string("%07d", "id")).alias("id"), F.array(F.lit("hot")).alias("contributors"), F.lit(0.5).alias("weight"))
+    spread = capping._held(d.select("id", F.explode("contributors").alias("contributor"), "weight", F.lit(1000).alias("cap"))).groupBy("held").count().collect()
+    assert {r["held"]: r["count"] for r in spread} == {True: 1000, False: 199_000}
+    order = ["contributor", F.desc_nulls_last("weight"), "id"]
+    sizes = [r["count"] for r in d.select("id", F.explode("contributors").alias("contributor"), "weight").repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
 
 
 def variant(words, n, g):
@@ -105,25 +127,51 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
     assert all(groups[a]["group_id"] == groups[b]["group_id"] for a, b in want) and sum(r["links"] for r in groups.values()) == 2 * len(want)
 
 
-def test_encoding_round_trip_and_streaming(spark):
-    data = open(f"{encoding.VOCABULARY_DIR}/byte_bpe_50k.tiktoken", "rb").read()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+@pytest.fixture(scope="session")
+def public():
     tiktoken = pytest.importorskip("tiktoken")
-    ref = tiktoken.Encoding("own", pat_str=encoding.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = encoding.parse_ranks(open(f"{encoding.VOCABULARY_DIR}/byte_bpe_50k.tiktoken", "rb").read())
+    return ranks, tiktoken.Encoding("own", pat_str=encoding.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_round_trip(spark, public):
+    ranks, ref = public
     texts = [None, "", "   ", "<|endoftext|>", "Grüße 東京 🙂‍↔️ \u0000", "a" * 5000, "the quick " * 3000, "xqzjk" * 2000, "\n\n \t x", "é" * 200]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["ids"] for r in encoding.encoded(d).collect()}
     assert got == {i: (ref.encode_ordinary(t) if t else []) for i, t in enumerate(texts)}
     back = {r["doc_id"]: r["text"] for r in encoding.decoded(encoding.encoded(d)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
-    g = random.Random(5)
-    piece = "".join(g.choice("aeinrst") for _ in range(3000)).encode()
-    t = encoding.Transducer(ranks, 400)  # far less than needed here, so that tokens are emitted while reading
-    assert list(t.encode([piece[i : i + 7] for i in range(0, len(piece), 7)])) == list(encoding.Transducer(ranks, 10**6).encode([piece]))
     dec = encoding.Decoder(ranks)
     assert "".join(dec.feed([i]) for i in got[4]) + dec.feed([], True) == texts[4]
 
 
+@pytest.mark.parametrize("alphabet", ["aeinrst", "ab", "thequickbrown", "xzqj0189", "äöüé東"])
+def test_transducer_emits_early_in_constant_memory(public, alphabet):
+    ranks, ref = public
+    g = random.Random(5)
+    text = "".join(g.choice(alphabet) for _ in range(20_000))
+    t = encoding.Transducer(ranks)
+    b = text.encode()
+    out = t.encode(b[i : i + 7] for i in range(0, len(b), 7))
+    first = next(out)
+    assert t.pending == 0 and len(b) > 10 * t.longest  # the first token came before the text was read through
+    split = encoding.Encoder(ranks, r"(?s).+")
+    assert [first, *out] == list(split.piece(text)) and t.pending <= encoding.sufficient_lookahead(ranks) + 2 * t.longest
+    short = text[:300]
+    assert list(encoding.Transducer(ranks).encode([short.encode()])) == [ranks[x] for x in encoding.merge_bytes(short.encode(), ranks)]
+
+
+def test_a_text_of_a_megabyte_without_blanks(public):
+    ranks, _ = public
+    g = random.Random(6)
+    b = "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()
+    t = encoding.Transducer(ranks)
+    ids = list(t.encode(b[i : i + 4096] for i in range(0, len(b), 4096)))
+    token = {v: k for k, v in ranks.items()}
+    assert b"".join(token[i] for i in ids) == b and t.pending < 1_000
+
+
 def test_myers_equals_dynamic_programming():
     g = random.Random(2)
     for _ in range(200):
@@ -151,6 +199,44 @@ def test_leakage_finds_runs_and_near_runs(spark):
     assert leakage.leaks(d, items.limit(0)).count() == 0
 
 
+def least_distance(item, ws, w, most):
+    best = most + 1
+    for s in range(len(item) - w + 1):
+        row = list(range(w + 1))
+        m = row[-1]
+        for c in ws:
+            new = [0]
+            for i in range(1, w + 1):
+                new.append(min(row[i - 1] + (item[s + i - 1] != c), row[i] + 1, new[-1] + 1))
+            row = new
+            m = min(m, row[-1])
+        best = min(best, m)
+    return best
+
+
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_leaks_equal_brute_force(errors):
+    g = random.Random(errors)
+    for _ in range(80):
+        item = [f"w{g.randrange(40)}" for _ in range(g.randint(12, 24))]
+        at = g.randrange(len(item) - 11)
+        part = item[at : at + g.randint(10, 15)]
+        for _ in range(g.randint(0, 3)):
+            k = g.randrange(len(part))
+            part[k : k + g.randint(0, 1)] = g.choice([[], ["x"], [f"w{g.randrange(40)}"]])
+            part = part or ["x"]
+        ws = [f"w{g.randrange(40)}" for _ in range(g.randint(0, 8))] + part + [f"w{g.randrange(40)}" for _ in range(g.randint(0, 8))]
+        got = leakage.Matcher([(1, item)], 12, errors).find(ws).get(0, (0, errors + 1))[1]
+        assert got == least_distance(item, ws, 12, errors)
+
+
+def test_without_myers_nothing_leaks(monkeypatch):
+    ws = [f"w{i}" for i in range(20)]
+    assert leakage.Matcher([(1, ws)]).find(ws)[0][1] == 0
+    monkeypatch.setattr(leakage, "myers_distance", lambda p, t, most: most + 1)
+    assert leakage.Matcher([(1, ws)]).find(ws) == {}
+
+
 PROSE = "The old bridge crossed the river and it was not easy to find. They said that the mill was far away."
 
 
@@ -276,6 +362,9 @@ def test_line_states(spark, model):
     }
     for want, t in kinds.items():
         assert m.kind(t, m.shares(t)) == want
+    noisy = "\n".join([prose, "Notes, rivers", prose, prose, "lamp", prose])
+    alone = [int(m.scores([m.observe(x)])[0].argmax()) for x, _ in m.labels(noisy)]
+    assert [s for _, s in m.labels(noisy)] != alone  # the chain changes labels
     d = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, prose * 3), (5, "x" * 100_000), (4, prose * 3)], "doc_id long, text string")
     r = {x["doc_id"]: x for x in line_states.text_statistics(d, model[2]).collect()}
     assert r[1]["words"] == 0 and r[1]["prose"] is None and r[4]["kind"] is None and r[4]["words"] == 54
