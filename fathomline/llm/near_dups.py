@@ -6,9 +6,11 @@ give a signature of the same length with no more variance. The signature is
 banded; documents that agree on a band are verified on their whole shingle
 sets. Documents with equal shingle sets form one class and enter once.
 
-Buckets of more than ``HOT`` classes are not paired as they are: their members
-are banded again, inside the bucket, by shorter bands of the whole signature,
-which finds a pair at the threshold with a chance of all but 1e-9.
+Buckets of more than ``HOT`` classes (a template's, say, whose pages share half
+their text) are not paired as they are. Their members meet by an exact way
+instead: shingles are ordered from rare to common among these members, and two
+sets above the threshold must share one of the rarest of each (prefix filter).
+Pages that share a template differ in their rare shingles and don't meet.
 
 Defined cases: null content, null ids and texts of fewer than ``min_words``
 words have no pairs; repeated rows of an id count once; ids are strings.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.io import pages, union_all
@@ -32,8 +34,6 @@ PERMUTATIONS = 64
 #: A pair at similarity 0.8 is missed by all 25 bands of 5 with a chance of 5e-5.
 BAND = 5
 HOT = 1_000
-#: Inside a hot bucket: 42 bands of 3.
-HOT_BAND = 3
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -155,23 +155,15 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id string, s array<bigint>")
 
 
-def _hot_keys(docs: DataFrame, hot: DataFrame) -> DataFrame:
-    """(key, id) for the members (bucket, id) of hot buckets, banded again by the whole signature."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        sh, (a, b) = Shingles(), permutations()
-        for batch in batches:
-            keys = [_bands(min_max(sh.of(text_words(t.as_py())), a, b), HOT_BAND) for t in batch.column(1)]
-            n = len(keys[0]) if keys else 1
-            subs = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), subs], ["id", "subs"])
-
-    subs = _texts_of(docs, hot.select("id").distinct()).mapInArrow(run, "id string, subs array<bigint>")
-    x = hot.join(subs, "id").select("id", "key", F.explode("subs").alias("sub"))
-    return x.select(F.xxhash64("key", "sub").alias("key"), "id")
+def _rare_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, id): the rarest shingles of each set, as many as two sets above the threshold cannot both lack."""
+    x = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("key"))
+    rarity = x.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one set meets nothing but keeps its place
+    ranked = x.join(rarity, "key", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.col("key").alias("key")).alias("r"))
+    need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    firsts = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list("r")).alias("rs"))  # the shingles of one text
+    keys = firsts.select("id", F.explode(F.slice("rs", F.lit(1), need.cast("int"))).alias("r")).where("r.df > 1")
+    return keys.select(F.col("r.key").alias("key"), "id")
 
 
 def _in_one_bucket(keys: DataFrame) -> DataFrame:
@@ -193,11 +185,13 @@ def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     reps = rows.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"))
     members = rows.groupBy("id", "c1", "c2").agg(F.lit(1).alias("one")).select("id", "c1", "c2").join(reps.select("c1", "c2", "class_id"), ["c1", "c2"]).select("id", "class_id")
     keys = reps.select(F.explode("bands").alias("key"), F.col("class_id").alias("id"))
-    sized = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").checkpoint()
-    pairs = _in_one_bucket(sized.where(F.col("n") <= HOT))
-    hot = sized.where(F.col("n") > HOT).select("key", "id")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # counted in part before the shuffle
+    met = keys.join(shared, "key").checkpoint()
+    pairs = _in_one_bucket(met.where(F.col("n") <= HOT))
+    hot = met.where(F.col("n") > HOT).select("id").distinct().checkpoint()
     if not hot.isEmpty():
-        pairs = union_all(pairs, _in_one_bucket(_hot_keys(docs, hot))).distinct()
+        rare = _rare_keys(_shingled(_texts_of(docs, hot)).checkpoint(), threshold)
+        pairs = union_all(pairs, _in_one_bucket(rare)).distinct()
     pairs = pairs.checkpoint()
     sets = _shingled(_texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     sets = sets.checkpoint()

@@ -9,6 +9,7 @@ QUERIES = {
     "p1_bodies": boilerplate.p1_bodies,
     "p2_found": residue.p2_found,
     "p3_found": site_lines.p3_found,
+    "p3_excess": site_lines.p3_excess,
     "p4_found": languages.p4_found,
     "p4_languages": languages.p4_languages,
     "p5_found": keyword_spam.p5_found,

@@ -51,6 +51,24 @@ def test_site_lines_counts_ids_once_and_keeps_the_rest(spark):
     assert kept["a.example0"] == "own line a\n" and kept["b.example0"] == rows[6]["content"]
 
 
+def test_excess_rejects_a_line_that_is_as_common_elsewhere(spark):
+    import math
+
+    rows = []
+    for site in range(8):
+        for i in range(25):
+            lines = [f"own line {chr(97 + i)}{chr(97 + site)}", "own notice of this site" if site == 0 and i < 12 else "", "the same everywhere" if i % 3 == 0 else ""]
+            rows.append({"id": f"{site}-{i}", "domain": f"s{site}.example", "content": "\n".join(lines)})
+    found = {tuple(r) for r in site_lines.excess_occurrences(docs(spark, rows)).collect()}
+    assert found == {(f"0-{i}", 1) for i in range(12)}
+    assert len(site_lines.repeated_lines(docs(spark, rows)).collect()) == 12 + 8 * 9  # the bound of six ids keeps both
+    keyed = site_lines.line_keys(docs(spark, rows)).checkpoint()
+    got = sorted((r["docs"], r["outside"], r["llr"]) for r in site_lines.compared_lines(keyed).collect())
+    p = 12 / 200
+    want = 2 * (12 * math.log(12 / (25 * p)) + 13 * math.log(13 / (25 * (1 - p))) + 175 * math.log(1 / (1 - p)))
+    assert got[-1][:2] == (12, 0) and abs(got[-1][2] - want) < 1e-9 and all(x == (9, 63, 0.0) for x in got[:-1])
+
+
 def test_capping_one_contributor_ties_and_voids(spark):
     rows = [{"id": f"i{n}", "domain": "a.example", "quality_score": q} for n, q in enumerate([0.5, 0.5, None, float("nan"), 0.9, 7.0, 0.5])]
     out = capping.suitor_matching(capping.page_records(docs(spark, rows + rows)), 4)
@@ -109,7 +127,7 @@ def jaccard_pairs(texts, min_words=40):
     return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(s[a] & s[b]) / len(s[a] | s[b]) > 0.8}
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [1000, 2, 0])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(near_dups, "HOT", hot)
     g = random.Random(1)
@@ -127,6 +145,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
     assert all(groups[a]["group_id"] == groups[b]["group_id"] for a, b in want) and sum(r["links"] for r in groups.values()) == 2 * len(want)
 
 
+def test_pages_of_one_template_meet_by_their_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT", 20)
+    g = random.Random(2)
+    template = [f"t{i}" for i in range(150)]
+    texts = {f"p{i:03d}": " ".join(template + [f"o{i}_{k}" for k in range(60)]) for i in range(150)}  # similar to each other by 0.55
+    texts |= {f"q{i}": texts[f"p{i:03d}"] + " end" for i in range(5)}
+    d = docs(spark, [{"id": i, "content": t} for i, t in texts.items()])
+    sets = near_dups._shingled(d.select("id", "content"))
+    keys = near_dups._rare_keys(sets, 0.8)
+    assert near_dups._in_one_bucket(keys).count() < 200  # of 11,935 pairs
+    assert {(r["id_a"], r["id_b"]) for r in near_dups.near_duplicate_pairs(d).collect()} == jaccard_pairs(texts)
+
+
 @pytest.fixture(scope="session")
 def public():
     tiktoken = pytest.importorskip("tiktoken")
