@@ -17,6 +17,7 @@ repeated rows of an id count once.
 from __future__ import annotations
 
 from collections import deque
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,8 @@ class Labeller:
             return []
         names = host_names(*hosts)
         texts = [raw[i].strip() for i in at]
-        bare = sum(map(is_sentence, texts)) < 3 and self.pages is not None and self.pages.bare(title, content, names)
+        prose = islice(filter(is_sentence, texts), 3)
+        bare = len(list(prose)) < 3 and self.pages is not None and self.pages.bare(title, content, names)
         return [at[i] for i in self.lines_of((title or "").strip(), texts, at, names, bare)]
 
     def costs(self, title: str, texts: list[str], names: frozenset[str], bare: bool) -> tuple[list[float], list[str]]:

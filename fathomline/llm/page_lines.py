@@ -12,6 +12,7 @@ furniture of the web at large and are no lines of any table.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from fathomline.llm.keyword_spam import FUNCTION_WORDS
 
@@ -65,44 +66,59 @@ def host_names(*hosts: str | None) -> frozenset[str]:
     return frozenset(out)
 
 
-def tokens(line: str, names: frozenset[str] = frozenset()) -> list[str]:
+_DIGIT = re.compile(r"\d")
+_NONE: frozenset[str] = frozenset()
+
+
+def tokens(line: str, names: frozenset[str] = _NONE) -> list[str]:
     """Lower-cased words and marks; numbers, codes and paths as 0, the site's own name as @."""
-    return ["@" if t in names else "0" if t[0].isdigit() else t for t in _TOKEN.findall(_CODE.sub("0", line.lower()))]
+    low = line.lower()
+    if "/" in low or _DIGIT.search(low):
+        found = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(_CODE.sub("0", low))]
+    else:
+        found = _TOKEN.findall(low)
+    return ["@" if t in names else t for t in found] if names else found
 
 
 def _bucket(n: int, *bounds: int) -> int:
-    return sum(n > b for b in bounds)
+    return sum([n > b for b in bounds])
+
+
+def trimmed(line: str) -> str:
+    """The stripped line without a counter or tag in brackets at its end."""
+    x = line.strip()
+    return _NOISE.sub("", x) or x if x.endswith(")") else x
 
 
-def shape_features(line: str, toks: list[str]) -> list[str]:
-    """Features of the form of a stripped line, without its words."""
-    words = [t for t in toks if t[0].isalpha() or t == "@"]
+def form(line: str, toks: list[str]) -> tuple:
+    """The form of a stripped line in a few classes, without its words."""
+    words = [t for t in toks if t == "@" or t.isalpha()]
     n = len(words)
     end = line.rstrip(_CLOSERS)[-1:] or line[-1:]
     end = "a" if end.isalpha() else "0" if end.isdigit() else end if end in ".!?:;…,|»›" else "%"
     first = line[:1]
     first = "A" if first.isupper() else "a" if first.isalpha() else "0" if first.isdigit() else first if first in "[#©«»<>‹›←•*-–¿\"“" else "%"
-    caps = sum(w[:1].isupper() for w in _WORD.findall(line))
-    cap = _bucket(10 * caps // max(1, n), 0, 3, 6, 9)
-    fn = _bucket(10 * sum(w in FUNCTION_WORDS for w in words) // max(1, n), 0, 1, 3)
-    size = _bucket(n, 0, 1, 2, 3, 5, 8, 13, 20, 40)
-    seps = _bucket(sum(line.count(c) for c in _SEPARATORS), 0, 1, 2, 4)
-    out = [f"z:{size}", f"e:{end}", f"f:{first}", f"c:{cap}", f"n:{fn}", f"s:{seps}", f"ze:{size}{end}", f"zc:{size}{cap}", f"zn:{size}{fn}", f"zs:{size}{seps}", f"k:{_bucket(line.count(','), 0, 1, 3)}"]
-    if TEASER.search(line):
-        out.append("teaser")
-    if "://" in line:
-        out.append("url")
-    return out
+    caps = sum(map(str.isupper, [w[0] for w in line.split()]))
+    fn = sum(map(FUNCTION_WORDS.__contains__, words))
+    return (
+        _bucket(n, 0, 1, 2, 3, 5, 8, 13, 20, 40), end, first, _bucket(10 * caps // max(1, n), 0, 3, 6, 9), _bucket(10 * fn // max(1, n), 0, 1, 3),
+        _bucket(separators(line), 0, 1, 2, 4), _bucket(line.count(","), 0, 1, 3), TEASER.search(line) is not None, "://" in line,
+    )
 
 
-def word_features(toks: list[str]) -> list[str]:
-    """Features of the words of a line."""
-    said = [t for t in dict.fromkeys(toks) if _says(t)]
-    return [a + " " + b for a, b in zip(toks, toks[1:]) if _says(a) or _says(b)] + said
+def separators(line: str) -> int:
+    return sum([line.count(c) for c in _SEPARATORS])
 
 
-def _says(t: str) -> bool:
-    return t[0].isalpha() or t == "@" or t == "©"
+def form_features(f: tuple) -> list[str]:
+    size, end, first, cap, fn, seps, commas, teaser, url = f
+    out = [f"z:{size}", f"e:{end}", f"f:{first}", f"c:{cap}", f"n:{fn}", f"s:{seps}", f"ze:{size}{end}", f"zc:{size}{cap}", f"zn:{size}{fn}", f"zs:{size}{seps}", f"k:{commas}"]
+    return out + ["teaser"] * teaser + ["url"] * url
+
+
+def word_features(toks: list[str]) -> list[str]:
+    """Features of the words of a line."""
+    return [*map(" ".join, zip(toks, toks[1:])), *dict.fromkeys(toks)]
 
 
 def edge_features(toks: list[str]) -> list[str]:
@@ -114,7 +130,13 @@ def edge_features(toks: list[str]) -> list[str]:
         out += (f"^ {toks[0]} {toks[1]}", f"{toks[-2]} {toks[-1]} $")
     if len(toks) >= 3:
         out.append(f"^ {toks[0]} {toks[1]} {toks[2]}")
-    return [f for f in out if any(_says(t) for t in f.split())]
+    return out
+
+
+@cache
+def says(feature: str) -> bool:
+    """Whether a feature of words holds a word, the name or the sign of copyright: numbers and marks alone say nothing."""
+    return any(t[0].isalpha() or t in "@©" for t in feature.split())
 
 
 def place_features(i: int, n: int) -> tuple[str, str]:
@@ -123,7 +145,7 @@ def place_features(i: int, n: int) -> tuple[str, str]:
 
 
 def spread(words: list[str]) -> float:
-    """Weight of one word feature of a line: a long line's words count by their mean."""
+    """Weight of one word feature of a line, of which words are all: a long line's words count by their mean."""
     return min(1.0, 12.0 / len(words)) if words else 0.0
 
 
@@ -133,23 +155,32 @@ class LineModel:
     def __init__(self, weights: dict[str, float], bias: float, recurring: frozenset[str] = frozenset()):
         self.weights, self.bias, self.recurring = weights, bias, recurring
         self.seen: dict[str, tuple[float, str, float]] = {}
+        self.forms: dict[tuple, float] = {}
 
     def score(self, line: str, names: frozenset[str] = frozenset()) -> tuple[float, str, float]:
         """(log odds without the place, shape, the words' part of the odds): shape is ``menu``, ``teaser``, ``next``, ``tags``, ``title`` or ``text``."""
         low = line.lower()
-        named = any(x in low for x in names)
+        named = False
+        for x in names:
+            if x in low:
+                named = True
         if not named and (got := self.seen.get(line)) is not None:
             return got
-        raw = _NOISE.sub("", line.strip()) or line
-        toks = tokens(raw, names)
+        raw = trimmed(line) or line
+        toks = tokens(raw, names if named else _NONE)
         get = self.weights.get
         ws = word_features(toks)
-        told = sum(get(f, 0.0) for f in edge_features(toks)) + spread(ws) * sum(get(f, 0.0) for f in ws)
+        told = sum(filter(None, map(get, edge_features(toks)))) + spread(ws) * sum(filter(None, map(get, ws)))
         if self.recurring and " ".join(toks) in self.recurring:
             told += RECURS
-        shape = self.shape(raw, toks)
-        form, most = self.bias + sum(get(f, 0.0) for f in shape_features(raw, toks)), HEAD if shape == "title" else FORM
-        got = (LINK + max(-1.0, min(3.0, told)) if shape in ("teaser", "next") else max(-FORM, min(most, form)) + told), shape, told
+        f = form(raw, toks)
+        if (of_form := self.forms.get(f)) is None:
+            of_form = self.forms[f] = self.bias + sum(get(x, 0.0) for x in form_features(f))
+        shape = self.shape(raw, toks, f[7])
+        if shape in ("teaser", "next"):
+            got = LINK + max(-1.0, min(3.0, told)), shape, told
+        else:
+            got = max(-FORM, min(HEAD if shape == "title" else FORM, of_form)) + told, shape, told
         if not named and len(line) < 200:
             if len(self.seen) > 100_000:
                 self.seen.clear()
@@ -157,14 +188,14 @@ class LineModel:
         return got
 
     @staticmethod
-    def shape(raw: str, toks: list[str]) -> str:
-        if TEASER.search(raw):
+    def shape(raw: str, toks: list[str], cut: bool) -> str:
+        if cut:
             return "teaser"
         if _NEXT.search(raw) and not (raw[0] == "«" and raw.rstrip(".")[-1:] == "»" and "|" not in raw):
             return "next"
         if raw.startswith("#") or ":" in raw[:24] and raw.count(",") >= 1 and raw[-1:] not in ".!?":
             return "tags"
-        if sum(raw.count(c) for c in _SEPARATORS) >= 1 and len(toks) <= 40 and raw[-1:] not in ".!?":
+        if len(toks) <= 40 and raw[-1:] not in ".!?" and separators(raw) >= 2:
             return "menu"
         end = raw.rstrip(_CLOSERS)[-1:]
         if end in ".!?:;。！？" and end:
@@ -197,7 +228,7 @@ def fit(rows: list[tuple[list[str], list[str], list[str], float, float]]) -> tup
     say nothing.
     """
     form, bias = _logistic([((r[0], 1.0),) for r in rows], rows, True)
-    words, _ = _logistic([((r[1], 1.0), (r[2], spread(r[2]))) for r in rows], rows, False)
+    words, _ = _logistic([((list(filter(says, r[1])), 1.0), (list(filter(says, r[2])), spread(r[2]))) for r in rows], rows, False)
     return form | words, bias
 
 
