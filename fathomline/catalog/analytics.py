@@ -57,7 +57,7 @@ def search_excluding(spark, sf):
 @query(f"WITH {PAGES} SELECT id, url FROM p WHERE domain = 'amberwick.example' AND language = 'en' AND is_https AND country = 'US' AND contains(url, 'notes') AND crawled_at BETWEEN '2024-01-15' AND '2024-03-01'")
 def search_filters(spark, sf):
     """Field filters alone: site, language, country, scheme, words of the url, dates."""
-    d = latest(table(spark, sf, "docs").where("id is not null").select("id", "url", "domain", "language", "country", "is_https", "crawled_at", "indexed_at", "quality_score"), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
+    d = pages(spark, sf, "url", "domain", "language", "country", "is_https", "crawled_at")
     return d.where("domain = 'amberwick.example' and language = 'en' and is_https and country = 'US' and contains(url, 'notes') and crawled_at between timestamp_ntz'2024-01-15' and timestamp_ntz'2024-03-01'").select("id", "url")
 
 
@@ -82,11 +82,11 @@ def cosine_nearest(spark, sf):
     return x.where("similarity > 0").orderBy(F.desc("similarity"), "vec_id").limit(10)
 
 
-@query(f"WITH {PAGES}, t AS (SELECT unnest(list_distinct({TOK.format('content')})) AS term FROM p WHERE content IS NOT NULL), n AS (SELECT count(*) AS n FROM p WHERE content IS NOT NULL) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term HAVING count(*) >= 5")
+@query(f"WITH {PAGES}, t AS (SELECT unnest(list_distinct({TOK.format('content')})) AS term FROM p WHERE content IS NOT NULL), n AS (SELECT count(*) AS n FROM p WHERE content IS NOT NULL) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term")
 def term_idf(spark, sf):
     d = pages(spark, sf, "content").where("content is not null")
     t = d.select(F.explode(F.array_distinct(S.tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    x = t.where("df >= 5").crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
+    x = t.crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
     return x.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -111,7 +111,7 @@ def domain_diversity(spark, sf):
 
 @query(f"WITH {PAGES} SELECT id, round(CASE WHEN crawled_at IS NULL THEN 0.5 ELSE least(1.0, greatest(0.1, 0.5 + 0.5 * exp(-ln(2) / 90 * (epoch(TIMESTAMP '2024-06-01') - floor(epoch(crawled_at))) / 86400))) END, 6) AS fresh, round(greatest(0, quality_score_ok * (quality_score_ok * 0.92 + 0.16 * CASE WHEN crawled_at IS NULL THEN 0.5 ELSE least(1.0, greatest(0.1, 0.5 + 0.5 * exp(-ln(2) / 90 * (epoch(TIMESTAMP '2024-06-01') - floor(epoch(crawled_at))) / 86400))) END)), 6) AS final FROM (SELECT *, CASE WHEN isnan(quality_score) OR quality_score NOT BETWEEN 0 AND 1 OR quality_score IS NULL THEN 0.5 ELSE quality_score END AS quality_score_ok FROM p)")
 def final_scores(spark, sf):
-    d = latest(table(spark, sf, "docs").where("id is not null").select("id", "crawled_at", "indexed_at", "quality_score"), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
+    d = pages(spark, sf, "crawled_at", "quality_score")
     q = F.when(F.col("quality_score").isNull() | F.isnan("quality_score") | ~F.col("quality_score").between(0, 1), 0.5).otherwise(F.col("quality_score"))
     fr = S.fresh(F.col("crawled_at").cast("timestamp"), F.lit("2024-06-01").cast("timestamp"), F.lit(90.0))
     return d.select("id", F.round(fr, 6).alias("fresh"), F.round(S.final_score(q, q, fr), 6).alias("final"))

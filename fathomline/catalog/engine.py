@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline import lexicons as X
 from fathomline.catalog import PAGES, query, words
-from fathomline.io import latest, pages, table
+from fathomline.io import pages, table
 from fathomline.operators import assist, ltr
 from fathomline.operators import feedback as B
 from fathomline.plans.intent import intent
@@ -33,18 +33,24 @@ def query_intents(spark, sf):
     return d.select("query", intent(F.col("query")).alias("i")).select("query", "i.*")
 
 
+def _answerable(spark, sf, d):
+    """Pages but those of quarantined peers, a table of machines."""
+    bad = table(spark, sf, "peers").where("quarantined").select(F.col("peer_id").alias("origin_peer_id")).distinct()
+    return d.join(F.broadcast(bad), "origin_peer_id", "left_anti")
+
+
 @query()
 def planned_search(spark, sf):
     """A query with a phrase, an operator and an exclusion, through the planner."""
-    d = latest(table(spark, sf, "docs").where("id is not null"), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
-    return plan(d, parse('lantern OR harbour "the simple" lang:en has:https -glacier after:2024-01-10'))
+    d = pages(spark, sf, *table(spark, sf, "docs").columns)
+    return plan(_answerable(spark, sf, d), parse('lantern OR harbour "the simple" lang:en has:https -glacier after:2024-01-10'))
 
 
 @query()
 def planned_terms(spark, sf):
     """A query of two terms through the planner, wherever in a page they stand."""
-    d = latest(table(spark, sf, "docs").where("id is not null"), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
-    return plan(d, parse("lantern harbour"))
+    d = pages(spark, sf, *table(spark, sf, "docs").columns)
+    return plan(_answerable(spark, sf, d), parse("lantern harbour"))
 
 
 @query()
@@ -66,7 +72,7 @@ def learned_scores(spark, sf):
     import numpy as np
 
     c = B.ctr(B.counters(B.events(table(spark, sf, "search_clicks")))).select("query", "url", "clicks")
-    d = latest(table(spark, sf, "docs").where("id is not null and url is not null").select("id", "url", "eeat_score", "quality_score", "spam_score", "depth", "word_count", "crawled_at"), "id", F.desc_nulls_last("crawled_at"))
+    d = pages(spark, sf, "url", "eeat_score", "quality_score", "spam_score", "depth", "word_count").where("url is not null")
     f = d.select("id", "url", F.array(*[F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0)) for x in ("eeat_score", "quality_score", "spam_score", "depth", "word_count")]).alias("features"))
     g = c.join(f.dropDuplicates(["url"]), "url").where("clicks > 0")
     best = g.groupBy("query").agg(F.max_by("features", F.struct("clicks", "url")).alias("w"), F.min_by("features", F.struct("clicks", "url")).alias("l"), F.max("clicks").alias("hi"), F.min("clicks").alias("lo")).where("hi > lo")
@@ -90,7 +96,7 @@ def stream_first_seen(spark, sf):
     """Events of a stream, each id once within its time to live."""
     s = table(spark, sf, "search_clicks").schema
     e = jobs.read(spark, sf, "search_clicks.parquet", s).where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_once(jobs.first_seen(e, "ts", "event_id", "365 days").select("event_id")).agg(F.count("*").alias("events"))
+    return jobs.run_once(jobs.first_seen(e, "ts", "event_id", "7 days").select("event_id")).agg(F.count("*").alias("events"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)

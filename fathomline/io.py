@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,52 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Replaced rows that may be broadcast (16 bytes each).
+MOST_REPLACED = 2_000_000
+_REPLACED: dict[tuple, tuple[DataFrame, bool]] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """What tells a stored table, as it is now, from every other in this application."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return sc.applicationId, path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+def replaced_rows(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """((_f, _r) of the rows of a docs table that a later row of their id replaces, whether they may be broadcast).
+
+    Only ids, times and the rows' places are read. The places are found once a
+    session for a table as it is now (its size and time tell) and checkpointed.
+    """
+    key = table_state(spark, path)
+    if key not in _REPLACED:
+        shared_checkpoints(spark)
+        d = spark.read.parquet(path).where("id is not null")
+        d = d.select("id", F.struct("crawled_at", "indexed_at", "quality_score", *_place()).alias("at"))
+        best = d.groupBy("id").agg(F.max("at").alias("best"), F.count("*").alias("n")).where("n > 1").select("id", "best")
+        gone = d.join(best, "id").where("at._f <> best._f or at._r <> best._r").select("at._f", "at._r").checkpoint()
+        _REPLACED[key] = gone, gone.count() <= MOST_REPLACED
+    return _REPLACED[key]
+
+
+def _place() -> list[Column]:
+    return [F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r")]
+
+
 def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The latest row of each page; only the named columns are read."""
-    d = table(spark, sf_dir, "docs").where("id is not null")
-    need = dict.fromkeys(["id", *columns, "crawled_at", "indexed_at", "quality_score"])
-    d = latest(d.select(*need), "id", F.desc_nulls_last("crawled_at"), F.desc_nulls_last("indexed_at"), F.desc_nulls_last("quality_score"))
-    return d.select("id", *[c for c in columns if c != "id"])
+    """The latest row of each page; only the named columns are read.
+
+    Rows that a later one replaces are left out where they are scanned, so that
+    texts are in no shuffle and filters on top reach the scan. Only where more
+    rows are replaced than may be broadcast do the places meet in a shuffle.
+    """
+    path = f"{sf_dir}/docs.parquet"
+    gone, small = replaced_rows(spark, path)
+    d = spark.read.parquet(path).where("id is not null")
+    d = d.select(*dict.fromkeys(["id", *columns]), *_place())
+    return d.join(F.broadcast(gone) if small else gone, ["_f", "_r"], "left_anti").drop("_f", "_r")
 
 
 def union_all(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
@@ -66,6 +107,12 @@ def restore(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Dat
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Uses the shared folder named in spark.checkpoint.dir; a local session without one gets a temporary folder."""
     sc = spark.sparkContext

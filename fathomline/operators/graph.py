@@ -14,27 +14,30 @@ def edges(raw: DataFrame) -> DataFrame:
     return raw.groupBy("to_id", "from_id").agg(F.max_by(F.struct("anchor_text", "is_cross"), F.struct(F.coalesce("discovered_at", F.lit("1970-01-01").cast("timestamp_ntz")), F.coalesce("anchor_text", F.lit("")), "is_cross")).alias("x")).select("to_id", "from_id", "x.*")
 
 
-def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 20, epsilon: float = 1e-6, cross: float = 1.5, every: int = 5, normalise: bool = True) -> DataFrame:
+def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 20, epsilon: float = 1e-6, cross: float = 1.5, normalise: bool = True) -> DataFrame:
     """(node, rank): edges of another domain weigh more, ranks of dead ends are not spread; divided by the greatest.
 
-    Messages are summed before the shuffle, so a popular target isn't one task's load; the lineage is cut in the shared folder every few rounds.
+    Ends when the ranks move by less than epsilon in all. Messages are summed before the shuffle, so a popular
+    target isn't one task's load; each round's ranks are written to the shared folder. No edges give no rows.
     """
     shared_checkpoints(e.sparkSession)
     out = e.groupBy("from_id").agg(F.count("*").alias("deg"))
     e = e.join(out, "from_id").select("from_id", "to_id", (F.when(F.col("is_cross"), cross).otherwise(1.0) / F.col("deg")).alias("w")).checkpoint()
     nodes = union_all(e.select(F.col("from_id").alias("node")), e.select(F.col("to_id").alias("node"))).distinct().checkpoint()
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range(rounds if n else 0):
         got = e.join(ranks, e["from_id"] == ranks["node"]).groupBy(F.col("to_id").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
-        new = nodes.join(got, "node", "left").select("node", ((1 - damping) / n + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if (i + 1) % every == 0 and i + 1 < rounds:
-            new = new.checkpoint()
-            if new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
-                ranks = new
-                break
-        ranks = new
-    return ranks.crossJoin(F.broadcast(ranks.agg(F.max("rank").alias("top")))).select("node", (F.col("rank") / F.col("top")).alias("rank")) if normalise else ranks
+        new = ranks.select("node", F.col("rank").alias("old")).join(got, "node", "left")
+        new = new.select("node", "old", ((1 - damping) / n + damping * F.coalesce("s", F.lit(0.0))).alias("rank")).checkpoint()
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = new.drop("old")
+        if moved < epsilon:
+            break
+    if not normalise:
+        return ranks
+    top = ranks.agg(F.max("rank").alias("top"))  # one row
+    return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("rank"))
 
 
 def anchor_texts(e: DataFrame, most: int = 500) -> DataFrame:
@@ -87,4 +90,13 @@ def moves(keys: DataFrame, key: str, before: DataFrame, after: DataFrame, batch:
     """(key, old, new, batch): the keys whose owner changes between two sets of nodes, in numbered batches per pair of nodes."""
     a, b = owners(keys, key, before).withColumnRenamed("node", "old"), owners(keys, key, after).withColumnRenamed("node", "new")
     m = a.join(b, key).where("old <> new")
-    return m.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("old", "new").orderBy(key)) - 1) / batch).cast("long"))
+    order = ["old", "new", key]
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared_checkpoints(keys.sparkSession)
+    # numbers from a range partitioning, so that the keys of one pair of nodes spread over tasks
+    m = m.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).checkpoint()
+    runs = m.groupBy("old", "new", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("old", "new").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("old", "new", "part", "first", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    x = m.join(runs, ["old", "new", "part"])
+    return x.select(key, "old", "new", F.floor((F.col("earlier") + F.col("at") - F.col("first")) / batch).cast("long").alias("batch"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,11 +81,16 @@ def fuzzy(docs: DataFrame, key: str, field: str, terms: list[str], boost: float
     return x.select(key, _weight(F.col("tf"), F.col("df"), F.col("len"), F.col("avg")).alias("score")).groupBy(key).agg((boost * F.sum("score")).alias("score"))
 
 
+def query_tokens(text: str) -> list[str]:
+    """The words of a query, cut as texts are."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def phrase(docs: DataFrame, field: str, text: str) -> DataFrame:
     """Documents that hold the words of text in a row."""
     norm = F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(field), F.lit(""))), " "), F.lit(" "))
-    words = " ".join(w for w in text.lower().split() if w)
-    return docs.where(norm.contains(f" {words} "))
+    words = " ".join(query_tokens(text))
+    return docs.where(norm.contains(f" {words} ")) if words else docs.where(F.lit(False))
 
 
 def excluded(docs: DataFrame, terms: list[str], fields=("title", "description", "content")) -> DataFrame:

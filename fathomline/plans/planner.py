@@ -36,12 +36,13 @@ def filters(d: DataFrame, q: ParsedQuery) -> DataFrame:
         if day is not None:
             d = d.where(F.coalesce(c("crawled_at") >= day if op == ">=" else c("crawled_at") <= day, day.isNull()))  # a bound that isn't a date is no bound
     for field, word in (("title", q.intitle), ("content", q.intext)):
-        if word:
-            d = d.where(F.array_contains(tokens(F.coalesce(c(field), F.lit(""))), word))
+        for w in S.query_tokens(word or ""):
+            d = d.where(F.array_contains(tokens(F.coalesce(c(field), F.lit(""))), w))
     for group in q.or_groups:
-        d = d.where(F.arrays_overlap(tokens(F.concat_ws(" ", "title", "content", "description")), F.array(*[F.lit(t) for t in group])))
-    if q.not_terms:
-        d = S.excluded(d, q.not_terms)
+        words = [w for t in group for w in S.query_tokens(t)]
+        d = d.where(F.arrays_overlap(tokens(F.concat_ws(" ", "title", "content", "description")), F.array(*[F.lit(t) for t in words])))
+    if bad := [w for t in q.not_terms for w in S.query_tokens(t)]:
+        d = S.excluded(d, bad)
     return d
 
 
@@ -52,23 +53,24 @@ def plan(docs: DataFrame, q: ParsedQuery, limit: int = 100) -> DataFrame:
     Without terms and phrases the filters alone decide and every page scores 1. Phrases score a fixed boost.
     """
     d = filters(docs, q)
-    n = len(set(q.terms))
+    terms = [w for t in q.terms for w in S.query_tokens(t)]  # cut as the texts are: "c++" is "c"
+    n = len(set(terms))
     quoted = [S.phrase(d, field, p).select("id", F.lit(w).alias("score")) for p in q.phrases for field, w in (("title", 10.0), ("content", 6.0))]
     parts = list(quoted)
-    if q.terms:
-        parts.append(S.fielded(d, "id", q.terms, need=n))
+    if terms:
+        parts.append(S.fielded(d, "id", terms, need=n))
         if n > 1:
-            parts.append(S.cross_field(d, "id", q.terms))
+            parts.append(S.cross_field(d, "id", terms))
             if union_all(*parts).isEmpty():
-                parts = [S.fielded(d, "id", q.terms, need=1)]
+                parts = [S.fielded(d, "id", terms, need=1)]
     if not parts:
         return d.select("id", F.lit(1.0).alias("score")).orderBy("id").limit(limit)
     primary = union_all(*parts).groupBy("id").agg(F.sum("score").alias("score"))
     more = []
-    if len(q.terms) > 1:
-        more += [S.phrase(d, field, " ".join(q.terms)).select("id", F.lit(w).alias("score")) for field, w in (("title", 8.0), ("description", 4.0), ("content", 3.0))]
-    if q.fuzzy and any(len(t.encode()) >= 4 for t in q.terms):
-        more.append(S.fuzzy(d, "id", "content", q.terms))
+    if len(terms) > 1:
+        more += [S.phrase(d, field, " ".join(terms)).select("id", F.lit(w).alias("score")) for field, w in (("title", 8.0), ("description", 4.0), ("content", 3.0))]
+    if q.fuzzy and any(len(t.encode()) >= 4 for t in terms):
+        more.append(S.fuzzy(d, "id", "content", terms))
     if extra := [t for s in expand(q) for t in s.split()]:
         more.append(S.fielded(d, "id", extra, boosts={"title": 0.3, "content": 0.2}))
     if more:

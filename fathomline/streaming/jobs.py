@@ -48,14 +48,17 @@ def limiter(allowed: int, window_s: float, block_s: float) -> Callable:
     return step
 
 
-def limited(events: DataFrame, key: str, ts: str, allowed: int = 100, window_s: float = 30, block_s: float = 300) -> DataFrame:
-    """(key, accepted, rejected) per key and batch; keyed state on a stream."""
+def limited(events: DataFrame, key: str, ts: str, allowed: int = 100, window_s: float = 30, block_s: float = 300, late: str = "1 hour") -> DataFrame:
+    """(key, accepted, rejected) per key and batch; keyed state on a stream, which a key keeps until its window and block are over."""
     step = limiter(allowed, window_s, block_s)
     kind = events.schema[key].dataType.simpleString()
 
     def fold(k, frames, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else (0, 0.0, 0.0)
         ok = bad = 0
         for f in frames:
@@ -63,10 +66,12 @@ def limited(events: DataFrame, key: str, ts: str, allowed: int = 100, window_s:
                 now, good = step(tuple(now), at)
                 ok, bad = ok + good, bad + (not good)
         state.update(tuple(now))
+        state.setTimeoutTimestamp(max(int(1000 * (max(now[1], now[2]) + window_s + block_s)), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "accepted": [ok], "rejected": [bad]})
 
-    e = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("us")).select(key, (F.col("us") / 1e6).alias("at"))
-    return e.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, accepted long, rejected long", "n long, until double, blocked double", "update", "NoTimeout")
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias("_t")).withWatermark("_t", late)
+    e = e.select(key, "_t", (F.unix_micros("_t").cast("double") / 1e6).alias("at"))
+    return e.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, accepted long, rejected long", "n long, until double, blocked double", "update", "EventTimeTimeout")
 
 
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -74,14 +79,15 @@ def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     shared_checkpoints(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode(how).parquet(f"{base}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces its own folder, so that no row comes twice
+        at = "batch=0" if mode == "complete" else f"batch={number}"
+        batch.write.mode("overwrite").parquet(f"{base}/out/{at}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def upsert_each_batch(stream: DataFrame, key: str, order: Column, sink: Callable[[DataFrame], None], checkpoint: str):
