@@ -218,3 +218,40 @@ def signature(t: Column) -> Column:
 
 def collapse(t: Column) -> Column:
     return F.regexp_replace(t, "[ \t\n\r]+", " ")
+
+
+def decay(days: Column, half_life: float) -> Column:
+    return F.exp(F.lit(-0.6931471805599453) / F.lit(half_life) * days)
+
+
+def truncated(t: Column, most: int, reach: int = 20) -> Column:
+    """The text, or its first ``most`` characters cut at the last blank of their last ``reach``, and three dots."""
+    window = F.substring(t, most - reach + 2, reach)
+    blank = F.length(F.regexp_extract(window, "^(.*) [^ ]*$", 1))
+    cut = F.when(F.contains(window, F.lit(" ")), F.lit(most - reach + 1) + blank).otherwise(F.lit(most))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, F.lit(1), cut), F.lit("...")))
+
+
+def surface_words(t: Column) -> Column:
+    """Lower-cased runs of letters of three bytes or more."""
+    return F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda x: F.octet_length(x) >= 3)
+
+
+def feature_words(t: Column) -> Column:
+    """Lower-cased words between white space without the marks about them, of two bytes or more, each once."""
+    words = F.transform(F.split(F.lower(t), r"\s+"), lambda x: F.regexp_replace(x, r"^[.,!?;:\"'()\[\]{}]+|[.,!?;:\"'()\[\]{}]+$", ""))
+    return F.array_distinct(F.filter(words, lambda x: F.octet_length(x) >= 2))
+
+
+# Countries of languages spoken mainly in one, and top-level domains that don't spell their country's code.
+COUNTRY_OF_LANGUAGE = {"de": "DE", "it": "IT", "nl": "NL", "ru": "RU", "ja": "JP", "zh": "CN", "ko": "KR", "hi": "IN", "tr": "TR", "pl": "PL", "sv": "SE", "da": "DK", "fi": "FI", "hu": "HU", "ro": "RO", "no": "NO"}
+TOP_LEVEL = {"uk": "GB", "ac": "SH", "eu": None, "su": None}
+
+
+def country(domain: Column, language: Column) -> Column:
+    """Country of a page: that of a two-letter top-level domain, else of a language spoken mainly in one, else empty."""
+    tld = F.regexp_extract(F.lower(domain), r"\.([a-z]{2})$", 1)
+    odd = F.create_map(*[F.lit(x) for kv in TOP_LEVEL.items() for x in kv])
+    by_name = F.when(tld.isin(list(TOP_LEVEL)), odd[tld]).when(tld != "", F.upper(tld))
+    spoken = F.create_map(*[F.lit(x) for kv in COUNTRY_OF_LANGUAGE.items() for x in kv])
+    return F.coalesce(by_name, spoken[language], F.lit(""))

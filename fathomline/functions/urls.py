@@ -120,3 +120,35 @@ def doc_id(url: Column) -> Column:
 
 def cache_key(q: Column, page: Column, size: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", q, page.cast("string"), size.cast("string")), 256), 1, 16)
+
+
+def shard(domain: Column, shards: int) -> Column:
+    """Shard of a domain: 32-bit FNV-1a over its code points, modulo the shards."""
+    codes = F.transform(F.split(domain, ""), lambda c: F.when(c == "", F.lit(None)).otherwise(F.ascii(c)))
+    h = F.aggregate(F.array_compact(codes), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
+    return (h % shards).cast("int")
+
+
+_V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+
+
+def is_safe(url: Column) -> Column:
+    """Whether a URL names a host that isn't local: no localhost, ``.local``, loopback, private, link-local or unspecified address."""
+    auth = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    v6 = F.regexp_extract(auth, r"^\[([^\]%]*)", 1)
+    a, b = (F.regexp_extract(auth, _V4, i).try_cast("int") for i in (1, 2))
+    inner = (a == 127) | (a == 10) | (a == 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 224) & (b == 0))
+    inner6 = v6.isin("::1", "::", "fd00:ec2::254") | v6.rlike("^(f[cd]|fe[89ab]|ff.[12]:)")
+    return F.coalesce((auth != "") & (auth != "localhost") & ~auth.endswith(".local") & ~F.coalesce(inner, F.lit(False)) & ~inner6, F.lit(False))
+
+
+def is_allowed(url: Column, domain: Column, deny_domains=(), deny_prefixes=(), allow_domains=(), allow_prefixes=()) -> Column:
+    """Denied domains, then denied prefixes, then the allowed ones where such are set."""
+    d = F.lower(F.coalesce(domain, F.lit("")))
+    u = F.coalesce(url, F.lit(""))
+    begins = lambda ps: F.exists(F.array(*[F.lit(p) for p in ps]), lambda p: F.startswith(u, p)) if ps else F.lit(False)
+    ok = ~d.isin(list(deny_domains)) if deny_domains else F.lit(True)
+    ok = ok & ~begins(deny_prefixes)
+    if allow_domains:
+        ok = ok & d.isin(list(allow_domains))
+    return ok & begins(allow_prefixes) if allow_prefixes else ok

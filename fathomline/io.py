@@ -67,6 +67,22 @@ def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return d.join(F.broadcast(gone) if small else gone, ["_f", "_r"], "left_anti").drop("_f", "_r")
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """Adds number, from 1, of each row within its group by the order, which tells all rows of a group apart.
+
+    Numbers come from a range partitioning on (group, order), so that a group of
+    any size spreads over tasks; what meets in a window is one row per group and task.
+    """
+    shared_checkpoints(rows.sparkSession)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rows.repartitionByRange(tasks, *by, *order).sortWithinPartitions(*by, *order)
+    x = x.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    runs = x.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*by, "_part", "_first", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    return x.join(runs, [*by, "_part"]).withColumn("number", F.col("_earlier") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_first", "_earlier")
+
+
 def union_all(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
     """Rows of all frames, columns by name.
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.io import union_all
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,3 +112,40 @@ def summaries(docs: DataFrame, key: str, title: str, text: str, n: int = 3) -> D
 
     d = docs.select(F.col(key).alias("k"), F.col(title).alias("h"), F.col(text).alias("t"))
     return d.mapInArrow(run, f"k {d.schema['k'].dataType.simpleString()}, summary string").withColumnRenamed("k", key)
+
+
+def autocomplete(popular: DataFrame, trending: DataFrame, prefix: str, limit: int) -> DataFrame:
+    """(query): popular queries (query, n) that begin with the prefix, the commonest first, then trending ones (name, velocity), each once."""
+    p = prefix.strip().lower()
+    top = popular.orderBy(F.desc("n"), "query").limit(200).select(F.lit(0).alias("source"), (-F.col("n")).cast("double").alias("at"), "query")
+    hot = trending.orderBy(F.desc("velocity"), "name").limit(50).select(F.lit(1).alias("source"), (-F.col("velocity")).alias("at"), F.col("name").alias("query"))
+    both = union_all(top, hot).where(F.startswith(F.lower("query"), F.lit(p)) if p else F.lit(False))
+    return both.groupBy("query").agg(F.min(F.struct("source", "at")).alias("first")).orderBy("first", "query").limit(limit).select("query")
+
+
+def featured(hits: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """(answer, source) of the best hit (description, url, quality_score, eeat_score, score, id) of a sure informational query, if it is good and long enough."""
+    top = hits.orderBy(F.desc("score"), "id").limit(1)
+    if kind != "informational" or confidence < 0.7:
+        return top.where(F.lit(False)).select(F.col("description").alias("answer"), F.col("url").alias("source"))
+    return top.where("(quality_score >= 0.4 or eeat_score >= 0.3) and octet_length(description) >= 40").select(F.col("description").alias("answer"), F.col("url").alias("source"))
+
+
+def related_searches(terms: list[str], synonyms: list[str], topics: list[str], cleaned: str) -> list[str]:
+    """Up to three rewrites with a synonym of the first term, then topics, six in all, none twice nor the query itself."""
+    out: list[str] = []
+    for s in synonyms if terms else []:
+        again = " ".join([s, *terms[1:]])
+        if len(out) < 3 and again != cleaned and again not in out:
+            out.append(again)
+    for t in topics:
+        if len(out) < 6 and t != cleaned and t not in out:
+            out.append(t)
+    return out
+
+
+def page_window(page: int, size: int) -> tuple[int, int, int]:
+    """(offset, size, hits to fetch) of a page of results: ten a page unless given, fifty at most, and five pages ahead within 100 and 5,000."""
+    size = 10 if size <= 0 else min(size, 50)
+    offset = (max(page, 1) - 1) * size
+    return offset, size, max(100, min(5000, offset + 5 * size))

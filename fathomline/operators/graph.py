@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.io import shared_checkpoints, union_all
+from fathomline.io import numbered, shared_checkpoints, union_all
 from fathomline.lexicons import GENERIC_ANCHORS
 
 
@@ -66,7 +66,11 @@ def owners(keys: DataFrame, key: str, nodes: DataFrame, replicas: int = 64) -> D
     carries the first point after it. The parts hold replicas x nodes points in
     all, and nodes are machines.
     """
-    pts = ring(nodes, replicas).withColumn("part", F.shiftright("point", 24).cast("int"))
+    return _placed(keys, key, ring(nodes, replicas))
+
+
+def _placed(keys: DataFrame, key: str, points: DataFrame) -> DataFrame:
+    pts = points.withColumn("part", F.shiftright("point", 24).cast("int"))
     parts = pts.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("point", "node"))).alias("points"))
     every = keys.sparkSession.range(256).select(F.col("id").cast("int").alias("part")).join(parts, "part", "left")
     after = F.first("points", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))  # 256 rows
@@ -90,13 +94,51 @@ def moves(keys: DataFrame, key: str, before: DataFrame, after: DataFrame, batch:
     """(key, old, new, batch): the keys whose owner changes between two sets of nodes, in numbered batches per pair of nodes."""
     a, b = owners(keys, key, before).withColumnRenamed("node", "old"), owners(keys, key, after).withColumnRenamed("node", "new")
     m = a.join(b, key).where("old <> new")
-    order = ["old", "new", key]
-    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared_checkpoints(keys.sparkSession)
-    # numbers from a range partitioning, so that the keys of one pair of nodes spread over tasks
-    m = m.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).checkpoint()
-    runs = m.groupBy("old", "new", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("old", "new").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select("old", "new", "part", "first", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    x = m.join(runs, ["old", "new", "part"])
-    return x.select(key, "old", "new", F.floor((F.col("earlier") + F.col("at") - F.col("first")) / batch).cast("long").alias("batch"))
+    x = numbered(m, ["old", "new"], [key])
+    return x.select(key, "old", "new", F.floor((F.col("number") - 1) / batch).cast("long").alias("batch"))
+
+
+def replica_owners(keys: DataFrame, key: str, nodes: DataFrame, copies: int = 3, replicas: int = 64) -> DataFrame:
+    """(key, nodes): the first ``copies`` different nodes at or after the key's point, the owner first."""
+    pts = ring(nodes, replicas)
+    once = union_all(pts.select(F.lit(0).alias("turn"), "point", "node"), pts.select(F.lit(1).alias("turn"), "point", "node"))
+    w = Window.orderBy("turn", "point", "node").rowsBetween(0, replicas * (copies - 1))  # points of machines; so many hold ``copies`` nodes
+    many = once.withColumn("nodes", F.slice(F.array_distinct(F.collect_list("node").over(w)), 1, copies)).where("turn = 0").select("point", F.col("nodes").alias("node"))
+    return _placed(keys, key, many).withColumnRenamed("node", "nodes")
+
+
+def authority(pages: DataFrame, e: DataFrame, ranks: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(domain, pages, backlinks, rank, quality, score) of each domain.
+
+    pages has id, domain and quality_score, e edges, ranks (node, rank), feedback
+    (domain, impressions, ctr, dwell_s). Domains of more than ten impressions are
+    scored by behaviour too. Qualities that are none count as 0.
+    """
+    p = pages.where("domain is not null and domain <> ''")
+    q = F.when(~F.isnan("quality_score"), F.col("quality_score"))
+    base = p.join(ranks.withColumnRenamed("node", "id"), "id", "left").groupBy("domain").agg(
+        F.count("*").alias("pages"), (F.sum(F.coalesce("rank", F.lit(0.0))) / F.count("*")).alias("rank"), (F.sum(F.coalesce(q, F.lit(0.0))) / F.count("*")).alias("quality"))
+    ends = e.where("is_cross").select("from_id", "to_id").join(p.select(F.col("id").alias("to_id"), "domain"), "to_id")
+    ends = ends.join(p.select(F.col("id").alias("from_id"), F.col("domain").alias("source")), "from_id").where("source <> domain")
+    back = ends.groupBy("domain", "source").agg(F.lit(1).alias("one")).groupBy("domain").agg(F.count("*").alias("backlinks"))
+    x = base.join(back, "domain", "left").join(feedback, "domain", "left").withColumn("backlinks", F.coalesce("backlinks", F.lit(0)))
+    most = lambda c, top: F.least(c / F.lit(float(top)), F.lit(1.0))
+    links = most(F.col("backlinks"), 50)
+    structure = most(F.col("pages"), 100) * 0.5 + links * 0.5
+    behaviour = F.least(F.coalesce("ctr", F.lit(0.0)) * 2, F.lit(1.0)) * 0.5 + most(F.coalesce("dwell_s", F.lit(0.0)), 120) * 0.5
+    seen = F.col("rank") * 0.25 + F.col("quality") * 0.20 + structure * 0.15 + behaviour * 0.25 + links * 0.15
+    plain = F.col("rank") * 0.35 + F.col("quality") * 0.25 + structure * 0.40
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.coalesce("impressions", F.lit(0)) > 10, seen).otherwise(plain)))
+    return x.select("domain", "pages", "backlinks", "rank", "quality", score.alias("score"))
+
+
+def differences(mine: DataFrame, theirs: DataFrame, by: str, key: str, digest: str) -> DataFrame:
+    """(key, kind): rows that ``mine`` lacks (missing) or holds with another digest (diverged).
+
+    Groups whose digests of all rows agree are passed over; only the others' rows meet.
+    """
+    item = F.concat(F.col(key), F.char(F.lit(31)), F.col(digest))
+    a, b = digests(mine, by, item).select(by, F.col("digest").alias("da")), digests(theirs, by, item).select(by, F.col("digest").alias("db"))
+    other = b.join(a, by, "left").where("da is null or da <> db").select(by)
+    x = theirs.join(other, by, "left_semi").select(key, F.col(digest).alias("theirs")).join(mine.select(key, F.col(digest).alias("mine")), key, "left")
+    return x.where("mine is null or mine <> theirs").select(key, F.when(F.col("mine").isNull(), "missing").otherwise("diverged").alias("kind"))

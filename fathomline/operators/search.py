@@ -141,6 +141,11 @@ def intent_multiplier(kind: str, c=F.col) -> Column:
     return F.lit(1.0)
 
 
+def tier_multiplier(tier: Column) -> Column:
+    """What the tier of a result's peer multiplies its score by; unknown tiers leave it."""
+    return F.when(tier == "warning", 0.8).when(tier == "throttled", 0.5).when(tier.isin("quarantined", "banned"), 0.0).otherwise(1.0)
+
+
 def final_score(relevance: Column, static: Column, freshness: Column, *multipliers: Column) -> Column:
     m = static * 0.92 + freshness * 0.16
     for x in multipliers:

@@ -106,3 +106,21 @@ def frontier(candidates: DataFrame, seen: DataFrame, key: str, order: Column, ro
     """Unseen urls, each once, the first to arrive, up to the room left in the queue."""
     fresh = candidates.join(seen.select(key), key, "left_anti")
     return fresh.groupBy(key).agg(F.min(order).alias("at")).orderBy("at", key).limit(room)
+
+
+def routed(holders, me):
+    """Adds route: ``local`` where the peer ``me`` is among the holders (column nodes), else ``forward``."""
+    return holders.withColumn("route", F.when(F.array_contains("nodes", me), "local").otherwise("forward"))
+
+
+def gaps(fetches, by: str, at: str, least_us: int):
+    """(by, gaps, least_s, too_near): gaps between fetches that are next to each other by their number, and how many are under the least allowed."""
+    a = fetches.select(by, "number", F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    b = a.select(by, (F.col("number") + 1).alias("number"), F.col("us").alias("was"))
+    x = a.join(b, [by, "number"]).select(by, (F.col("us") - F.col("was")).alias("gap"))
+    return x.groupBy(by).agg(F.count("*").alias("gaps"), F.round(F.min("gap") / 1e6, 3).alias("least_s"), F.sum((F.col("gap") < least_us).cast("long")).alias("too_near"))
+
+
+def announced(urls, most: int = 100, longest: int = 2048):
+    """The URLs that an announcement may carry, in order."""
+    return F.slice(F.filter(urls, lambda u: u.isNotNull() & (F.octet_length(u) <= longest)), 1, most)
