@@ -9,9 +9,11 @@ from fathomline.catalog import PAGES, query
 from fathomline.catalog.documents import TOK
 from fathomline.functions import urls
 from fathomline.io import latest, pages, table
+from fathomline.lexicons import GENERIC_ANCHORS
 from fathomline.operators import feedback as B
 from fathomline.operators import graph as G
 from fathomline.operators import search as S
+from fathomline.operators.index import page_index
 
 TERMS = ["harbour", "lantern"]
 _T = ", ".join(f"'{t}'" for t in TERMS)
@@ -29,7 +31,7 @@ def _bm25_sql(field: str, need: int, name: str) -> str:
 @query(f"WITH {PAGES}, {_bm25_sql('content', 2, 'r')} SELECT id, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, id LIMIT 10")
 def search_all_terms(spark, sf):
     """Top ten by BM25 of pages that hold all terms."""
-    r = S.bm25(pages(spark, sf, "content"), "id", "content", TERMS, need=len(TERMS))
+    r = page_index(spark, sf).search(TERMS, need=len(TERMS))
     return r.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
@@ -40,7 +42,7 @@ def search_any_term(spark, sf):
 
 @query(f"WITH {PAGES}, {_bm25_sql('title', 1, 'a')}, {_bm25_sql('description', 1, 'b')}, {_bm25_sql('content', 1, 'c')}, x AS (SELECT id, score * 5.0 AS score FROM a UNION ALL SELECT id, score * 1.5 FROM b UNION ALL SELECT id, score FROM c) SELECT id, round(sum(score), 6) AS score FROM x GROUP BY id")
 def search_fields(spark, sf):
-    return S.fielded(pages(spark, sf, "title", "description", "content"), "id", TERMS).select("id", F.round("score", 6).alias("score"))
+    return page_index(spark, sf).search(TERMS, boosts=S.BOOSTS).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {PAGES} SELECT id FROM p WHERE contains(' ' || array_to_string({TOK.format('content')}, ' ') || ' ', ' the simple lantern ')")
@@ -94,8 +96,7 @@ def term_idf(spark, sf):
  SELECT coalesce(a.id, b.id) AS id, round(coalesce(0.7 / (60 + a.r), 0) + coalesce(0.3 / (60 + b.r), 0), 8) AS score FROM a FULL JOIN b ON a.id = b.id""")
 def rank_fusion(spark, sf):
     """Reciprocal rank fusion of the top hundred by content and by title."""
-    d = pages(spark, sf, "title", "content")
-    top = lambda f: S.bm25(d, "id", f, TERMS).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(100)
+    top = lambda f: page_index(spark, sf).search(TERMS, boosts={f: 1.0}).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(100)
     return S.reciprocal_rank_fusion(top("content"), top("title"), "id").select("id", F.round("score", 8).alias("score"))
 
 
@@ -104,8 +105,8 @@ def rank_fusion(spark, sf):
  k AS (SELECT *, row_number() OVER (PARTITION BY dom ORDER BY rn) AS nth FROM n) SELECT id, CAST(row_number() OVER (ORDER BY (rn > 10)::INT, (rn <= 10 AND nth > 2)::INT, rn) AS INTEGER) AS place FROM k""")
 def domain_diversity(spark, sf):
     """Forty results, at most two a registrable domain among the first ten."""
-    d = pages(spark, sf, "url", "content")
-    r = S.bm25(d, "id", "content", TERMS).select("id", F.round("score", 6).alias("score")).join(d.select("id", "url"), "id").orderBy(F.desc("score"), "id").limit(40)
+    d = pages(spark, sf, "url")
+    r = page_index(spark, sf).search(TERMS).select("id", F.round("score", 6).alias("score")).join(d.select("id", "url"), "id").orderBy(F.desc("score"), "id").limit(40)
     return S.diversify(r, urls.registrable(F.col("url")), [F.desc("score"), F.col("id")]).select("id", "place")
 
 
@@ -135,12 +136,19 @@ def pagerank_three_rounds(spark, sf):
     return r.select("node", F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E1}, g AS (SELECT from_id, to_id, CASE WHEN is_cross THEN 1.5 ELSE 1.0 END / count(*) OVER (PARTITION BY from_id) AS w FROM e), nd AS (SELECT from_id AS node FROM g UNION SELECT to_id FROM g), n AS (SELECT count(*)::DOUBLE AS n FROM nd),
+ r AS (SELECT node, 1.0::DOUBLE / (SELECT n FROM n) AS rank, 0 AS round, 1.0::DOUBLE AS moved FROM nd
+  UNION ALL SELECT node, rank, round, sum(abs(rank - old)) OVER () AS moved FROM (SELECT a.node, any_value(a.round) + 1 AS round, any_value(a.rank) AS old, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(sum(b.rank * g.w), 0) AS rank FROM r a LEFT JOIN g ON g.to_id = a.node LEFT JOIN r b ON b.node = g.from_id WHERE a.moved >= 1e-6 AND a.round < 20 GROUP BY a.node))
+ SELECT node, round(rank / max(rank) OVER (), 6) AS rank FROM r WHERE round = (SELECT max(round) FROM r)""")
 def pagerank(spark, sf):
     return G.pagerank(G.edges(table(spark, sf, "link_edges"))).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query()
+_E2 = "e AS (SELECT to_id, from_id, arg_max({'a': anchor_text}, (coalesce(discovered_at, TIMESTAMP '1970-01-01'), coalesce(anchor_text, ''), is_cross)).a AS anchor_text FROM link_edges GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_E2}, a AS (SELECT to_id, trim(anchor_text) AS t, lower(trim(anchor_text)) AS low FROM e WHERE trim(anchor_text) <> ''), g AS (SELECT to_id, low, count(*) AS n, min(t) AS t FROM a WHERE low NOT IN ({", ".join(f"'{x}'" for x in GENERIC_ANCHORS)}) GROUP BY 1, 2),
+ w AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY to_id ORDER BY n DESC, low ROWS UNBOUNDED PRECEDING) AS size FROM g) SELECT to_id, string_agg(t, ' ' ORDER BY n DESC, low) AS anchors FROM w WHERE size - 1 <= 500 GROUP BY 1""")
 def anchor_texts(spark, sf):
     return G.anchor_texts(G.edges(table(spark, sf, "link_edges")))
 
@@ -154,7 +162,8 @@ def ring_owners(spark, sf):
     return G.owners(d, "domain", table(spark, sf, "peers").select(F.col("peer_id").alias("node")).distinct())
 
 
-@query()
+@query("""WITH i AS (SELECT DISTINCT domain, id || chr(31) || content_hash AS item FROM docs WHERE domain IS NOT NULL AND content_hash IS NOT NULL), p AS (SELECT domain, substr(sha256(item), 1, 2) AS part, count(*) AS n, sha256(string_agg(item, '' ORDER BY item)) AS h FROM i GROUP BY 1, 2)
+ SELECT domain, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY part)) AS digest FROM p GROUP BY 1""")
 def replica_digests(spark, sf):
     """A digest per domain of its pages and hashes: replicas with equal digests hold the same."""
     d = table(spark, sf, "docs").where("domain is not null and content_hash is not null")
@@ -251,13 +260,19 @@ def term_proximity(spark, sf):
     return S.proximity(d, "id", "content", TERMS).select("id", F.round("proximity", 6).alias("proximity")).join(o, "id")
 
 
-@query()
+@query(f"""WITH {PAGES}, t AS (SELECT id, unnest({TOK.format("coalesce(content, '')")}) AS term FROM p), c AS (SELECT id, term, count(*) AS n FROM t GROUP BY 1, 2), u AS (SELECT DISTINCT term FROM c),
+ h AS (SELECT term, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(list_filter(string_split(term, ''), lambda x: x <> ''), lambda x: unicode(x)::UHUGEINT)), lambda a, x: (xor(a, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM u),
+ k AS (SELECT id, (h % 384)::INT AS k, sum(CASE WHEN (h // 4294967296) % 2 = 1 THEN -n ELSE n END) AS v FROM c JOIN h USING (term) GROUP BY 1, 2), g AS (SELECT id, sqrt(sum(v * v)) AS len, max({{'v': abs(v), 'k': -k}}) AS top FROM k GROUP BY 1)
+ SELECT p.id, 384 AS dim, CASE WHEN coalesce(len, 0) > 0 THEN 1.0 ELSE 0.0 END AS norm, CASE WHEN len > 0 THEN CAST(-top.k AS INTEGER) END AS peak, CASE WHEN len > 0 THEN round(top.v / len, 4) END AS peak_value FROM p LEFT JOIN g ON p.id = g.id""")
 def hashed_embeddings(spark, sf):
-    """Feature-hash vectors of the pages, the length of each beside it."""
+    """Feature-hash vectors of the pages: dimension, length, and where and how high each peaks."""
     from fathomline.operators.vectors import dot, embed
 
     e = embed(pages(spark, sf, "content"), "id", "content")
-    return e.select("id", F.size("embedding").alias("dim"), F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+    x = e.withColumn("norm", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4))
+    top = F.array_max(F.transform("embedding", lambda v, i: F.struct(F.abs(v).alias("v"), (-i).alias("k"))))
+    at = F.when(F.col("norm") > 0, top)
+    return x.select("id", F.size("embedding").alias("dim"), "norm", (-at["k"]).alias("peak"), F.round(at["v"].cast("double"), 4).alias("peak_value"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline import lexicons as X
 from fathomline.catalog import PAGES, query, words
+from fathomline.catalog.analytics import EV
 from fathomline.io import pages, table
 from fathomline.operators import assist, ltr
 from fathomline.operators import feedback as B
@@ -53,7 +54,16 @@ def planned_terms(spark, sf):
     return plan(_answerable(spark, sf, d), parse("lantern harbour"))
 
 
-@query()
+_SURFACE = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}]+'), lambda x: strlen(x) >= 3)"
+
+#: The engine of the SQL compares bytes: letters beyond ASCII become one byte each.
+_PLAIN = "translate({0}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿßœæ', '0123456789ABCDEFGHIJKLMNOPQRSTUV')"
+
+
+@query(f"""WITH {PAGES}, v AS (SELECT term, count(*) AS n FROM (SELECT unnest({_SURFACE.format("concat_ws(' ', title, description)")}) AS term FROM p) GROUP BY 1 ORDER BY n DESC, term LIMIT 100000), {EV},
+ w AS (SELECT DISTINCT unnest(string_split_regex(query, '[^\\p{{L}}]+')) AS word FROM ev), u AS (SELECT word FROM w WHERE strlen(word) >= 3 AND word NOT IN (SELECT term FROM v)),
+ c AS (SELECT word, term AS suggestion, CAST(levenshtein({_PLAIN.format("word")}, {_PLAIN.format("term")}) AS INTEGER) AS distance, n FROM u JOIN v ON levenshtein({_PLAIN.format("word")}, {_PLAIN.format("term")}) BETWEEN 1 AND 2 AND length(term) <= 32)
+ SELECT word, suggestion, distance FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, n DESC, suggestion) = 1""")
 def spelling_suggestions(spark, sf):
     """The nearest dictionary word of each unknown word of the queries."""
     vocab = assist.vocabulary(pages(spark, sf, "title", "description"), "title", "description")

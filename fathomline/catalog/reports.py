@@ -16,6 +16,7 @@ from fathomline.operators import assist, entities, instant
 from fathomline.operators import feedback as B
 from fathomline.operators import graph as G
 from fathomline.operators import search as S
+from fathomline.operators.index import held, page_index
 
 AS_OF = "2024-06-01"
 
@@ -325,7 +326,7 @@ def report_totals(spark, sf):
 @query(f"WITH {PAGES}, {_bm25_sql('content', 1, 'r')}, t AS (SELECT id, round(score, 6) AS score, coalesce(description, '') AS d, url, quality_score AS q, eeat_score AS e FROM r JOIN p USING (id) ORDER BY 2 DESC, id LIMIT 1) SELECT d AS answer, url AS source FROM t WHERE (q >= 0.4 OR e >= 0.3) AND strlen(d) >= 40")
 def featured_snippets(spark, sf):
     """The answer of the best page to a sure informational query, if it is good and long enough."""
-    r = S.bm25(pages(spark, sf, "content"), "id", "content", TERMS).select("id", F.round("score", 6).alias("score"))
+    r = page_index(spark, sf).search(TERMS).select("id", F.round("score", 6).alias("score"))
     d = pages(spark, sf, "url", "description", "quality_score", "eeat_score").withColumn("description", F.coalesce("description", F.lit("")))
     top = r.orderBy(F.desc("score"), "id").limit(1)
     return assist.featured(d.join(F.broadcast(top), "id"), "informational", 0.85)
@@ -425,3 +426,15 @@ def full_scores(spark, sf):
     given = dict(eeat=c("eeat"), quality=c("quality"), pagerank=c("pagerank"), readability=c("readability"), citation=c("citation"), link=c("link"), seo=c("seo"), author=c("credibility"), relevance=c("relevance"))
     static = scoring.weighted(scoring.STATIC, c("spam"), authority=F.coalesce("authority", F.lit(0.0)), url=c("url_q"), **given)
     return x.select("id", F.round(static, 5).alias("static"), F.round(scoring.weighted(scoring.RESCORE, c("spam"), **given), 5).alias("rescored"))
+
+
+@query(f"WITH {PAGES}, w AS (SELECT id, list_concat({TOK.format("coalesce(title, '')")}, {TOK.format("coalesce(description, '')")}, {TOK.format("coalesce(content, '')")}) AS w FROM p) SELECT id FROM w WHERE list_contains(w, '{TERMS[0]}') AND list_contains(w, '{TERMS[1]}')")
+def terms_across_fields(spark, sf):
+    """Pages that hold each of two terms in some field, from the written index."""
+    return held(page_index(spark, sf), TERMS)
+
+
+@query(f"WITH {PAGES}, t AS (SELECT DISTINCT unnest({TOK.format('content')}) AS term, id FROM p WHERE content IS NOT NULL) SELECT term, count(*) AS df FROM t WHERE term IN ('{TERMS[0]}', '{TERMS[1]}', 'the') GROUP BY 1")
+def index_statistics(spark, sf):
+    """Document frequencies read from the written index."""
+    return page_index(spark, sf).postings([*TERMS, "the"]).where("field = 'content'").groupBy("term").agg(F.count("*").alias("df"))
