@@ -438,3 +438,39 @@ def terms_across_fields(spark, sf):
 def index_statistics(spark, sf):
     """Document frequencies read from the written index."""
     return page_index(spark, sf).postings([*TERMS, "the"]).where("field = 'content'").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _markup(spark, sf):
+    """(id, url, html) of pages as markup, made of the columns of docs: no table of raw pages is given."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    t, d, c = (safe(F.col(x)) for x in ("title", "description", "content"))
+    d = F.replace(d, F.lit('"'), F.lit("&quot;"))
+    head = F.concat(F.lit("<html lang='en'><head><title>"), t, F.lit('</title><meta name="description" content="'), d, F.lit("\"><meta name='viewport' content='width=device-width'><script src=a.js async></script><style>@media x{}</style></head>"))
+    links = F.array_join(F.transform(F.slice(F.coalesce("links", F.array()), 1, 50), lambda x: F.concat(F.lit("<a href='"), x["url"], F.lit("'>x</a>"))), "")
+    body = F.concat(F.lit("<body><nav>menu entries</nav><article><h2>"), t, F.lit("</h2><p>"), c, F.lit("</p></article><footer>"), links, F.lit("</footer></body></html>"))
+    return pages(spark, sf, "url", "title", "description", "content", "links").where("content is not null and url is not null").select("id", "url", F.concat(head, body).alias("html"))
+
+
+_WS = "trim(regexp_replace({0}, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT id, {_WS.format("coalesce(title, '')")} AS title, coalesce(description, '') AS description, {_WS.format("content")} AS body FROM p WHERE content IS NOT NULL AND url IS NOT NULL)
+ SELECT id, title, description, title AS heading, length(trim(title || ' ' || body, ' ')) AS chars, 1 AS scripts, round(0.75::DOUBLE, 6) AS performance, round(0.8::DOUBLE, 6) AS mobile FROM t""")
+def extracted_pages(spark, sf):
+    """Pages through the HTML parser: title, description, main text, headings and scores."""
+    from fathomline.functions import scoring
+    from fathomline.sources.html import pages_from_html
+
+    x = pages_from_html(_markup(spark, sf), "id").withColumnRenamed("scripts", "n_scripts")
+    c = F.col
+    perf = scoring.performance(F.lit(None), F.lit(100_000), c("resources"), c("lazy"), c("deferred"), c("n_scripts"))
+    mob = scoring.mobile(c("viewport"), c("media_queries"), c("flexible"), c("touch_icons"), c("small_fonts"), c("small_targets"))
+    return x.select("id", "title", "description", c("heading_text").alias("heading"), F.length("content").cast("long").alias("chars"), c("n_scripts").alias("scripts"), F.round(perf, 6).alias("performance"), F.round(mob, 6).alias("mobile"))
+
+
+@query(f"WITH {PAGES}, l AS (SELECT id, unnest(links).url AS to_url FROM p WHERE content IS NOT NULL AND url IS NOT NULL) SELECT id, count(DISTINCT rtrim(string_split(to_url, '#')[1], '/')) AS links FROM l WHERE to_url LIKE 'http%' GROUP BY 1")
+def extracted_links(spark, sf):
+    """Distinct targets of each page's links through the HTML parser."""
+    from fathomline.sources.html import pages_from_html
+
+    return pages_from_html(_markup(spark, sf), "id").select("id", F.size("links").cast("long").alias("links")).where("links > 0")

@@ -92,3 +92,20 @@ def document_scores(pages: DataFrame) -> DataFrame:
     d = d.withColumn("relevance", relevance(c("eeat"), c("quality"), c("link"), c("seo"), c("url_q"), c("spam")))
     d = d.withColumn("static", weighted(STATIC, c("spam"), eeat=c("eeat"), quality=c("quality"), link=c("link"), seo=c("seo"), url=c("url_q"), relevance=c("relevance")))
     return d.select("id", "words", *[F.round(x, 6).alias(x) for x in ("eeat", "quality", "link", "seo", "url_q", "spam", "relevance", "static")])
+
+
+def performance(ttfb_ms: Column, size_bytes: Column, resources: Column, lazy: Column, deferred: Column, scripts: Column) -> Column:
+    """How fast a page loads, within 0 and 1; what isn't known counts neither way."""
+    z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    t, b, r = z(ttfb_ms), z(size_bytes), z(resources)
+    s = F.lit(0.5) + F.when(t <= 0, 0.0).when(t < 200, 0.15).when(t < 500, 0.10).when(t < 1000, 0.05).when(t > 2000, -0.10).otherwise(0.0)
+    s = s + F.when(b <= 0, 0.0).when(b < 500 * 1024, 0.10).when(b < 1024 * 1024, 0.05).when(b > 5 * 1024 * 1024, -0.10).otherwise(0.0)
+    s = s + F.when(r <= 0, 0.0).when(r < 30, 0.10).when(r < 60, 0.05).when(r > 100, -0.10).otherwise(0.0)
+    return T.clamp(s + _when(F.coalesce(lazy, F.lit(False)), 0.05) + _when(F.coalesce(deferred, F.lit(False)), 0.05) - _when(z(scripts) > 20, 0.10))
+
+
+def mobile(viewport: Column, media: Column, flexible: Column, icons: Column, fonts: Column, targets: Column) -> Column:
+    """How well a page fits a small screen, within 0 and 1; viewport is null without such a tag."""
+    yes = lambda c, w: _when(F.coalesce(c, F.lit(False)), w)
+    s = F.lit(0.3) + _when(viewport.isNotNull(), 0.30) + yes(F.lower(viewport).contains("width=device-width"), 0.10)
+    return T.clamp(s + yes(media, 0.10) + yes(flexible, 0.05) + yes(icons, 0.05) - yes(fonts > 5, 0.10) - yes(targets > 10, 0.10))
