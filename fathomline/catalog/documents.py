@@ -209,11 +209,11 @@ def document_scores(spark, sf):
  SELECT CASE WHEN trim(coalesce(p.content, '')) = '' THEN 'empty' WHEN fp.id <> fp.kept THEN 'duplicate' WHEN st.spam > 0.7 THEN 'spam' ELSE 'accepted' END AS reason, count(*) AS n, round(avg(st.quality), 6) AS avg_quality, round(avg(st.spam), 6) AS avg_spam FROM p JOIN st USING (id) LEFT JOIN fp ON p.id = fp.id GROUP BY 1""")
 def ingest_gate(spark, sf):
     """Why pages are kept out (empty, duplicate, spam), in that order, with the average scores."""
-    d = pages(spark, sf, *PAGE_COLUMNS)
-    g = text.with_fingerprint(d.where("content is not null"), "content").select("id", F.col("fingerprint").alias("fp"))
-    kept = g.join(g.groupBy("fp").agg(F.min("id").alias("kept")), "fp").select("id", "kept")
-    x = d.select("id", "content").join(scoring.document_scores(d), "id").join(kept, "id", "left")
-    reason = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty").when(F.col("id") != F.col("kept"), "duplicate").when(F.col("spam") > 0.7, "spam").otherwise("accepted")
+    d = text.with_fingerprint(pages(spark, sf, *PAGE_COLUMNS), "content").withColumn("fp", F.when(F.col("content").isNotNull(), F.col("fingerprint")))
+    x = scoring.document_scores(d.withColumn("empty", F.trim(F.coalesce("content", F.lit(""))) == ""), "empty", "fp")
+    first = x.where("fp is not null").groupBy("fp").agg(F.min("id").alias("kept"))
+    x = x.join(first, "fp", "left")
+    reason = F.when(F.col("empty"), "empty").when(F.col("id") != F.col("kept"), "duplicate").when(F.col("spam") > 0.7, "spam").otherwise("accepted")
     return x.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("avg_quality"), F.round(F.avg("spam"), 6).alias("avg_spam"))
 
 

@@ -8,7 +8,7 @@ from fathomline import lexicons as X
 from fathomline.catalog import PAGES, query, words
 from fathomline.catalog.analytics import EV
 from fathomline.io import pages, table
-from fathomline.operators import assist, ltr
+from fathomline.operators import assist
 from fathomline.operators import feedback as B
 from fathomline.plans.intent import intent
 from fathomline.plans.parse import parse
@@ -76,23 +76,6 @@ def page_summaries(spark, sf):
     return assist.summaries(pages(spark, sf, "title", "content"), "id", "title", "content")
 
 
-@query()
-def learned_scores(spark, sf):
-    """Pages scored by stumps trained on at most 2,000 click preferences (documented bound), every fifth held out."""
-    import numpy as np
-
-    c = B.ctr(B.counters(B.events(table(spark, sf, "search_clicks")))).select("query", "url", "clicks")
-    d = pages(spark, sf, "url", "eeat_score", "quality_score", "spam_score", "depth", "word_count").where("url is not null")
-    f = d.select("id", "url", F.array(*[F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0)) for x in ("eeat_score", "quality_score", "spam_score", "depth", "word_count")]).alias("features"))
-    g = c.join(f.dropDuplicates(["url"]), "url").where("clicks > 0")
-    best = g.groupBy("query").agg(F.max_by("features", F.struct("clicks", "url")).alias("w"), F.min_by("features", F.struct("clicks", "url")).alias("l"), F.max("clicks").alias("hi"), F.min("clicks").alias("lo")).where("hi > lo")
-    rows = best.orderBy("query").limit(2000).select("w", "l").collect()
-    w, x = np.array([r[0] for r in rows] or np.zeros((0, 5))), np.array([r[1] for r in rows] or np.zeros((0, 5)))
-    held = np.arange(len(w)) % 5 == 4
-    model = ltr.train(w[~held], x[~held], rounds=30) if len(w) else []
-    return f.select("id", F.round(ltr.predict(model, F.col("features")), 6).alias("score"))
-
-
 @query("SELECT date_trunc('hour', ts) AS hour, action_kind, count(*) AS n FROM search_clicks WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_hourly_counts(spark, sf):
     """Event-time hourly counts by a stream over the click files."""

@@ -411,18 +411,40 @@ def entity_card(spark, sf):
     return entities.card(entities.documents_of(e), entities.companions(e), '"the" lang:en -x')
 
 
+def _signals(spark, sf):
+    """All signals of each page, as columns."""
+    from fathomline.catalog.documents import document_scores, readability, text_scores
+
+    x = document_scores(spark, sf).join(text_scores(spark, sf), "id").join(readability(spark, sf).select("id", "readability"), "id").join(link_write_back(spark, sf), "id")
+    return x.join(pages(spark, sf, "domain"), "id").join(domain_authority(spark, sf).select("domain", F.col("score").alias("authority")), "domain", "left")
+
+
+#: Document-side features of learned ranking, in order; the lexical score comes first and is 0 without a query.
+FEATURES = ("eeat", "quality", "pagerank", "authority", "url_q", "readability", "citation", "link", "seo", "credibility", "relevance", "freshness", "spam")
+
+
+@query()
+def learned_scores(spark, sf):
+    """Pages by stumps trained on a bounded sample of all click preferences, kept only if they order held-out pairs; 0 otherwise."""
+    from fathomline.operators import ltr
+
+    x = _signals(spark, sf).select("id", F.array(F.lit(0.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES]).alias("features")).checkpoint()
+    by_url = pages(spark, sf, "url").where("url is not null").join(x, "id").groupBy("url").agg(F.min(F.struct("id", "features")).alias("r")).select("url", "r.features")
+    clicks = B.counters(B.events(table(spark, sf, "search_clicks"))).select("query", "url", "clicks")
+    model, _ = ltr.promoted(ltr.preference_sample(clicks, by_url))
+    return x.select("id", F.round(ltr.predict(model, F.col("features")), 6).alias("score"))
+
+
 @query(f"""WITH a AS ({ORACLE_SQL['document_scores']}), t AS ({ORACLE_SQL['text_scores']}), r AS ({ORACLE_SQL['readability']}), w AS ({ORACLE_SQL['link_write_back']}), {PAGES}, d AS ({ORACLE_SQL['domain_authority']}),
  x AS (SELECT a.*, t.citation, t.credibility, r.readability, w.pagerank, coalesce(d.score, 0) AS authority FROM a JOIN t USING (id) JOIN r USING (id) JOIN w USING (id) JOIN p USING (id) LEFT JOIN d ON d.domain = p.domain)
  SELECT id, round((0.5 + 2 * (0.15 * eeat + 0.10 * quality + 0.15 * pagerank + 0.10 * authority + 0.05 * url_q + 0.08 * readability + 0.08 * citation + 0.05 * link + 0.05 * seo + 0.05 * credibility + 0.06 * relevance)) * (1 - 0.8 * spam), 5) AS static,
  round((0.5 + 2 * (0.20 * eeat + 0.20 * quality + 0.20 * pagerank + 0.08 * readability + 0.08 * citation + 0.05 * link + 0.08 * seo + 0.05 * credibility + 0.06 * relevance)) * (1 - 0.8 * spam), 5) AS rescored FROM x""")
 def full_scores(spark, sf):
     """Static and later scores from all of their eleven and nine signals."""
-    from fathomline.catalog.documents import document_scores, readability, text_scores
     from fathomline.functions import scoring
 
     c = F.col
-    x = document_scores(spark, sf).join(text_scores(spark, sf), "id").join(readability(spark, sf).select("id", "readability"), "id").join(link_write_back(spark, sf), "id")
-    x = x.join(pages(spark, sf, "domain"), "id").join(domain_authority(spark, sf).select("domain", c("score").alias("authority")), "domain", "left")
+    x = _signals(spark, sf)
     given = dict(eeat=c("eeat"), quality=c("quality"), pagerank=c("pagerank"), readability=c("readability"), citation=c("citation"), link=c("link"), seo=c("seo"), author=c("credibility"), relevance=c("relevance"))
     static = scoring.weighted(scoring.STATIC, c("spam"), authority=F.coalesce("authority", F.lit(0.0)), url=c("url_q"), **given)
     return x.select("id", F.round(static, 5).alias("static"), F.round(scoring.weighted(scoring.RESCORE, c("spam"), **given), 5).alias("rescored"))
@@ -446,7 +468,7 @@ def _markup(spark, sf):
     t, d, c = (safe(F.col(x)) for x in ("title", "description", "content"))
     d = F.replace(d, F.lit('"'), F.lit("&quot;"))
     head = F.concat(F.lit("<html lang='en'><head><title>"), t, F.lit('</title><meta name="description" content="'), d, F.lit("\"><meta name='viewport' content='width=device-width'><script src=a.js async></script><style>@media x{}</style></head>"))
-    links = F.array_join(F.transform(F.slice(F.coalesce("links", F.array()), 1, 50), lambda x: F.concat(F.lit("<a href='"), x["url"], F.lit("'>x</a>"))), "")
+    links = F.array_join(F.transform(F.coalesce("links", F.array()), lambda x: F.concat(F.lit("<a href='"), x["url"], F.lit("'>x</a>"))), "")
     body = F.concat(F.lit("<body><nav>menu entries</nav><article><h2>"), t, F.lit("</h2><p>"), c, F.lit("</p></article><footer>"), links, F.lit("</footer></body></html>"))
     return pages(spark, sf, "url", "title", "description", "content", "links").where("content is not null and url is not null").select("id", "url", F.concat(head, body).alias("html"))
 

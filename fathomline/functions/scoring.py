@@ -50,11 +50,16 @@ def spam(title: Column, content: Column, words: Column, n_links: Column, stuffed
     return T.clamp(s + _when(stuffed, 0.15))
 
 
-def stuffed_ids(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key): texts of more than 50 words in which a word kept by the analyzer is met over 20 times and in over 5 % of all."""
-    d = pages.select(key, T.tokens(F.col(text)).alias("w")).where(F.size("w") > 50)
-    w = d.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).where((F.octet_length("word") > 2) & ~T.is_stop(F.col("word")))
-    return w.groupBy(key, "word").agg(F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 20) & (F.col("c") / F.col("n") > 0.05)).select(key).distinct()
+def stuffed(words: Column) -> Column:
+    """Whether, of more than 50 words, one that the analyzer keeps is met over 20 times and in over 5 % of all.
+
+    In the sorted words such a word stands again as many places on, so no counts need a shuffle.
+    """
+    n, sorted_ = F.size(words), F.array_sort(words)
+    far = F.greatest(F.lit(20), F.floor(n / 20).cast("int"))
+    rest = F.greatest(n - far, F.lit(0))
+    again = F.zip_with(F.slice(sorted_, F.lit(1), rest), F.slice(sorted_, far + 1, rest), lambda a, b: (a == b) & (F.octet_length(a) > 2) & ~T.is_stop(a))
+    return (n > 50) & F.exists(again, lambda x: x)
 
 
 def relevance(e: Column, q: Column, lk: Column, so: Column, url: Column, sp: Column) -> Column:
@@ -71,15 +76,15 @@ def weighted(weights: dict[str, float], sp: Column, **signals: Column) -> Column
     return (0.5 + 2 * total) * (1 - 0.8 * sp)
 
 
-def document_scores(pages: DataFrame) -> DataFrame:
-    """(id, words, eeat, quality, link, seo, url, spam, relevance, static) of pages with their columns."""
+def document_scores(pages: DataFrame, *more: str) -> DataFrame:
+    """(id, words, eeat, quality, link, seo, url, spam, relevance, static, more) of pages with their columns, row by row."""
     from fathomline.functions import urls
 
     nil = lambda c: F.coalesce(F.col(c), F.lit(""))
     d = pages.withColumns({"title": nil("title"), "description": nil("description"), "content": nil("content"), "domain": nil("domain")})
     n = F.coalesce(F.size("links"), F.lit(0))
     d = d.withColumns({"n_links": F.greatest(n, F.lit(0)), "n_ext": F.greatest(F.coalesce(F.size(F.filter("links", lambda x: x["is_external"])), F.lit(0)), F.lit(0)), "words": T.word_count(F.col("content")), "density": T.semantic_density(F.col("content"))})
-    d = d.join(stuffed_ids(pages, "id", "content").withColumn("stuffed", F.lit(True)), "id", "left").withColumn("stuffed", F.coalesce("stuffed", F.lit(False)))
+    d = d.withColumn("stuffed", stuffed(T.tokens(F.col("content"))))
     c = F.col
     d = d.withColumns({
         "eeat": eeat(c("title"), c("content"), c("words"), c("n_links"), c("is_https"), c("domain")),
@@ -91,7 +96,7 @@ def document_scores(pages: DataFrame) -> DataFrame:
     })
     d = d.withColumn("relevance", relevance(c("eeat"), c("quality"), c("link"), c("seo"), c("url_q"), c("spam")))
     d = d.withColumn("static", weighted(STATIC, c("spam"), eeat=c("eeat"), quality=c("quality"), link=c("link"), seo=c("seo"), url=c("url_q"), relevance=c("relevance")))
-    return d.select("id", "words", *[F.round(x, 6).alias(x) for x in ("eeat", "quality", "link", "seo", "url_q", "spam", "relevance", "static")])
+    return d.select("id", "words", *more, *[F.round(x, 6).alias(x) for x in ("eeat", "quality", "link", "seo", "url_q", "spam", "relevance", "static")])
 
 
 def performance(ttfb_ms: Column, size_bytes: Column, resources: Column, lazy: Column, deferred: Column, scripts: Column) -> Column:

@@ -43,11 +43,11 @@ class Index:
         d = docs.select(F.col(key).alias("id"), F.explode(each).alias("x")).select("id", "x.field", "x.w", F.size("x.w").alias("len"))
         lengths = d.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg"))
         lengths.coalesce(1).write.mode("overwrite").parquet(f"{folder}/lengths")
-        t = d.select("id", "field", "len", F.explode("w").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        t = d.select("id", "field", "len", F.explode("w").alias("term")).withColumns({"bucket": _bucket(F.col("term")), "part": F.pmod(F.xxhash64("id"), F.lit(SPREAD))})
         tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         # one shuffle: the grouping below is within its partitions
-        t = t.repartition(tasks, "bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-        p = t.groupBy("bucket", "term", "field", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        t = t.repartition(tasks, "bucket", "part")
+        p = t.groupBy("bucket", "part", "term", "field", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len")).drop("part")
         p.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         return cls(docs.sparkSession, folder)
 

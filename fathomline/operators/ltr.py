@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.io import numbered
+
+#: Pairs used in training at most, pairs without which nothing is trained, partners drawn for each result of a query.
+MOST_PAIRS, LEAST_PAIRS, PARTNERS = 20_000, 200, 8
+
 
 def train(winners, losers, rounds: int = 100, rate: float = 0.1, cuts: int = 20) -> list[tuple[int, float, float, float]]:
     """Stumps (feature, threshold, below, above) fitted to the residuals of the pairwise logistic loss.
@@ -54,3 +59,32 @@ def pairwise_accuracy(model, winners, losers) -> float:
         return sum(np.where(x[:, f] <= t, lo, hi) for f, t, lo, hi in model)
 
     return float((s(np.asarray(winners)) > s(np.asarray(losers))).mean())
+
+
+def preference_sample(clicks: DataFrame, features: DataFrame, most: int = MOST_PAIRS, partners: int = PARTNERS) -> list[tuple[list[float], list[float]]]:
+    """At most ``most`` (features of the more clicked, of the less clicked) of clicks (query, url, clicks) and features (url, features).
+
+    Results of a query stand in the order of a hash; each meets the next ``partners`` of
+    them, so that a query of any size gives pairs in proportion. Ties give none. The
+    pairs kept are the first by hash.
+    """
+    c = clicks.where("clicks > 0").join(features, "url").withColumn("h", F.xxhash64("query", "url"))
+    n = numbered(c, ["query"], ["h", "url"])
+    ahead = n.select("query", F.explode(F.sequence(F.col("number") + 1, F.col("number") + partners)).alias("number"), F.col("clicks").alias("c1"), F.col("features").alias("f1"), F.col("h").alias("h1"))
+    x = ahead.join(n.select("query", "number", "clicks", "features", "h"), ["query", "number"]).where("c1 <> clicks")
+    won = F.col("c1") > F.col("clicks")
+    x = x.select(F.xxhash64("h1", "h").alias("at"), F.when(won, F.col("f1")).otherwise(F.col("features")).alias("w"), F.when(won, F.col("features")).otherwise(F.col("f1")).alias("l"))
+    return [(r["w"], r["l"]) for r in x.orderBy("at").limit(most).collect()]
+
+
+def promoted(pairs: list[tuple[list[float], list[float]]], rounds: int = 100) -> tuple[list, float | None]:
+    """(model, held-out accuracy): trained without every fifth pair and kept only if it orders more than half of those; empty otherwise or with too few pairs."""
+    import numpy as np
+
+    if len(pairs) < LEAST_PAIRS:
+        return [], None
+    w, x = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    held = np.arange(len(w)) % 5 == 4
+    model = train(w[~held], x[~held], rounds)
+    sure = pairwise_accuracy(model, w[held], x[held])
+    return (model if sure > 0.5 else []), sure

@@ -74,18 +74,22 @@ def limited(events: DataFrame, key: str, ts: str, allowed: int = 100, window_s:
     return e.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, accepted long, rejected long", "n long, until double, blocked double", "update", "EventTimeTimeout")
 
 
+def batch_writer(folder: str, whole: bool = False) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own number: one that is run again replaces itself, so that no row comes twice. whole: each batch is the whole result."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{'whole' if whole else number}")
+
+    return write
+
+
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into a table in the shared folder, and reads that."""
     spark = df.sparkSession
     shared_checkpoints(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, number: int) -> None:
-        # a batch that is run again replaces its own folder, so that no row comes twice
-        at = "batch=0" if mode == "complete" else f"batch={number}"
-        batch.write.mode("overwrite").parquet(f"{base}/out/{at}")
-
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).foreachBatch(batch_writer(f"{base}/out", mode == "complete")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
