@@ -496,3 +496,42 @@ def extracted_links(spark, sf):
     from fathomline.sources.html import pages_from_html
 
     return pages_from_html(_markup(spark, sf), "id").select("id", F.size("links").cast("long").alias("links")).where("links > 0")
+
+
+_INFORMATIONAL = "(1.0 + CASE WHEN r.readability > 0.6 THEN 0.2 ELSE 0 END + CASE WHEN a.quality > 0.6 THEN 0.15 ELSE 0 END + CASE WHEN a.eeat > 0.5 THEN 0.15 ELSE 0 END)"
+
+
+@query(f"""WITH b AS ({ORACLE_SQL['search_any_term']}), a AS ({ORACLE_SQL['document_scores']}), r AS ({ORACLE_SQL['readability']}), st AS ({ORACLE_SQL['full_scores']}), fs AS ({ORACLE_SQL['final_scores']}), pm AS ({ORACLE_SQL['peer_multipliers']}), {PAGES},
+ x AS (SELECT p.id, p.url, round(greatest(0, b.score * (st.static * 0.92 + fs.fresh * 0.16) * {_INFORMATIONAL} * coalesce(pm.linear, 1.0) * coalesce(pm.tier, 1.0))::DOUBLE, 4) AS score
+  FROM b JOIN p USING (id) JOIN a USING (id) JOIN r USING (id) JOIN st USING (id) JOIN fs USING (id) LEFT JOIN pm ON pm.peer_id = p.origin_peer_id)
+ SELECT id, score FROM x ORDER BY score DESC, url, id LIMIT 20""")
+def ranked_search(spark, sf):
+    """The first twenty of an informational query: lexical relevance by static quality and freshness, intent and peer; ties by URL."""
+    from fathomline.catalog.analytics import final_scores
+    from fathomline.catalog.documents import document_scores, readability
+
+    r = page_index(spark, sf).search(TERMS).select("id", F.round("score", 6).alias("bm25"))
+    x = r.join(pages(spark, sf, "url", "origin_peer_id"), "id").join(document_scores(spark, sf).select("id", "quality", "eeat"), "id").join(readability(spark, sf).select("id", "readability"), "id")
+    x = x.join(full_scores(spark, sf).select("id", "static"), "id").join(final_scores(spark, sf).select("id", "fresh"), "id").join(peer_multipliers(spark, sf).withColumnRenamed("peer_id", "origin_peer_id"), "origin_peer_id", "left")
+    peer = F.coalesce("linear", F.lit(1.0)) * F.coalesce("tier", F.lit(1.0))
+    score = S.final_score(F.col("bm25"), F.col("static"), F.col("fresh"), S.intent_multiplier("informational"), peer)
+    return x.select("id", "url", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "url", "id").limit(20).select("id", "score")
+
+
+_HASHED = ORACLE_SQL["hashed_embeddings"].split(" SELECT p.id, 384 AS dim", 1)[0]
+_QUERY_VECTOR = f"qv AS (SELECT (h % 384)::INT AS k, sum(CASE WHEN (h // 4294967296) % 2 = 1 THEN -1 ELSE 1 END) AS v FROM h WHERE term IN ({', '.join(repr(t) for t in TERMS)}) GROUP BY 1)"
+
+
+@query(f"""{_HASHED}, {_QUERY_VECTOR}, sim AS (SELECT k.id, round(sum(k.v * qv.v) / (any_value(g.len) * sqrt((SELECT sum(v * v) FROM qv))), 4) AS s FROM k JOIN qv USING (k) JOIN g ON g.id = k.id GROUP BY 1 HAVING s > 0), ve AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM sim QUALIFY r <= 100),
+ lx AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({ORACLE_SQL['search_any_term']}) QUALIFY r <= 100)
+ SELECT coalesce(lx.id, ve.id) AS id, round(coalesce(0.7 / (60 + lx.r), 0) + coalesce(0.3 / (60 + ve.r), 0), 8) AS score FROM lx FULL JOIN ve ON lx.id = ve.id""")
+def hybrid_search(spark, sf):
+    """Lexical and vector hits fused by reciprocal rank, a hundred of each."""
+    from fathomline.operators.vectors import cosine, embed
+
+    top = lambda x: x.orderBy(F.desc("score"), "id").limit(100)
+    lexical = top(page_index(spark, sf).search(TERMS).select("id", F.round("score", 6).alias("score")))
+    q = embed(spark.createDataFrame([("q", " ".join(TERMS))], "id string, content string"), "id", "content").select(F.col("embedding").alias("q"))
+    near = embed(pages(spark, sf, "content"), "id", "content").crossJoin(F.broadcast(q))  # one query vector
+    near = top(near.select("id", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score")).where("score > 0"))
+    return S.reciprocal_rank_fusion(lexical, near, "id").select("id", F.round("score", 8).alias("score"))
