@@ -86,16 +86,16 @@ def gap_variation(terms: list[str]) -> float:
 
 def entry_words(line: str) -> tuple[int, int, list[str]]:
     """(words, words outside sentences, content words) of a line."""
-    bare = _URL.sub(" ", line)
+    bare = _URL.sub(" ", line) if "://" in line else line
     ws = _WORD.findall(bare.lower())
     if not ws:
         return (1, 1, []) if bare != line else (0, 0, [])
-    fn = sum(w in FUNCTION_WORDS for w in ws)
-    terms = [w for w in ws if w not in FUNCTION_WORDS and not w.isdigit()]
-    n = len(ws)
+    terms = [w for w in ws if w not in FUNCTION_WORDS]
+    n, fn = len(ws), len(ws) - len(terms)
+    terms = [w for w in terms if not w.isdigit()]
     if fn <= POOR * n and n >= 2 or bare != line:
         return n, n, terms
-    if not _END.search(line) and n <= 18:
+    if n <= 18 and not _END.search(line):
         return n, n, terms  # a title, an entry
     return n, 0, terms
 
@@ -113,11 +113,14 @@ class SpamModel:
             terms += t
         if words < MIN_WORDS:
             return None
-        return {"words": words, "entries": entries / words, "content": len(terms) / words, "terms": terms, "regular": autocorrelation(terms), "gaps": gap_variation(terms)}
+        m = {"words": words, "entries": entries / words, "content": len(terms) / words}
+        if m["entries"] <= SPAM_SHARE and m["content"] <= CONTENT_SHARE:
+            return m  # sentences with their function words: neither rule can hold
+        return m | {"regular": autocorrelation(terms), "gaps": gap_variation(terms)}
 
     def is_spam(self, title: str | None, lines: list[str], furniture=None) -> bool:
         m = self.measures((title or "").strip(), lines, furniture)
-        if m is None or m["entries"] <= SPAM_SHARE and m["content"] <= CONTENT_SHARE:
+        if m is None or "regular" not in m:
             return False
         return self.stuffed(m) or self.listed(m)
 
