@@ -68,32 +68,3 @@ def test_plan_relaxes_only_when_nothing_is_found(spark):
     rows = [("a", "", "", "lantern"), ("b", "", "", "the blue door"), ("c", "", "", "harbour")]
     assert set(planned(spark, rows, "lantern harbour")) == {"a", "c"}
     assert set(planned(spark, rows, 'lantern harbour "blue door"')) == {"b"}
-
-
-@pytest.mark.parametrize("sites", [1, 2])
-def test_repeated_lines_are_found_at_any_share_of_a_site(spark, sites):
-    from fathomline.llm.site_lines import repeated_lines
-
-    rows = [(f"d{i}", "one.org" if i % 20 or sites == 1 else "two.org", f"header\nline {chr(97 + i % 15)}\nown {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(120)]
-    d = spark.createDataFrame([(i, s, None, c) for i, s, c in rows], "id string, domain string, url string, content string")
-    want = set()
-    for i, s, c in rows:
-        for n, line in enumerate(c.split("\n")):
-            if sum(s == s2 and line in c2.split("\n") for _, s2, c2 in rows) >= 6:
-                want.add((i, n))
-    assert {tuple(x) for x in repeated_lines(d).collect()} == want
-
-
-def test_near_duplicates_of_all_pages_whatever_their_title(spark):
-    from fathomline.llm.near_dups import near_duplicate_links
-
-    r = random.Random(3)
-    base = [[f"w{r.randrange(500)}" for _ in range(120)] for _ in range(6)]
-    rows = [(f"p{b}{k}", " ".join(w if i != 7 * k else f"x{k}" for i, w in enumerate(ws)) if k < 3 else " ".join(ws[:-1] + ["x"])) for b, ws in enumerate(base) for k in (1, 2, 3, 4)]
-    rows += [("v1", ""), ("v2", "two words"), ("v3", None)]
-    sets = {i: {tuple(t.split()[n : n + 5]) for n in range(len(t.split()) - 4)} for i, t in rows if t is not None}
-    near = {(a, b) for a in sets for b in sets if a < b and (not (sets[a] or sets[b]) or len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1) > 0.8)}
-    found = {(x["id"], x["other"]) for x in near_duplicate_links(spark.createDataFrame(rows, "id string, content string")).collect()}
-    copy = {b: a for a, b in near if sets[a] == sets[b]}
-    least = {i: min([i, *(a for a in sets if sets[a] == sets[i])]) for i in sets}
-    assert found == {(least[b], b) for b in copy} | {(a, b) for a, b in near if least[a] == a and least[b] == b}
