@@ -77,7 +77,9 @@ def all_people(t: Column) -> Column:
 
 def suffixed(t: Column, words: list[str], reach: int) -> Column:
     """Capitalised runs that end in one of the words, five a word at most, in order."""
-    each = [F.slice(F.regexp_extract_all(t, _bounded(rf"([A-Z][A-Za-z\s]{{1,{reach}}}{w})"), F.lit(1)), 1, 5) for w in words]
+    none = F.array().cast("array<string>")
+    # a text without the word is not searched
+    each = [F.when(F.contains(t, F.lit(w)), F.slice(F.regexp_extract_all(t, _bounded(rf"([A-Z][A-Za-z\s]{{1,{reach}}}{w})"), F.lit(1)), 1, 5)).otherwise(none) for w in words]
     return F.array_sort(F.array_distinct(F.transform(F.concat(*each), lambda x: F.trim(x))))
 
 

@@ -74,8 +74,13 @@ def fuzzy(docs: DataFrame, key: str, field: str, terms: list[str], boost: float
         return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     w = docs.select(key, tokens(F.coalesce(F.col(field), F.lit(""))).alias("w")).select(key, F.size("w").alias("len"), "w")
     n = w.agg(F.count("*").alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg"))
-    x = w.select(key, "len", F.explode("w").alias("word"))
-    near = [F.when(F.abs(F.length("word") - len(t)) <= k, F.when(F.levenshtein("word", F.lit(t), k).between(0, k), F.lit(t))) for t, k in edits.items()]
+
+    def close(v: Column, t: str, k: int) -> Column:
+        return (F.abs(F.length(v) - len(t)) <= k) & F.levenshtein(v, F.lit(t), k).between(0, k)
+
+    # only words near a term leave the row
+    x = w.select(key, "len", F.explode(F.filter("w", lambda v: reduce(lambda a, b: a | b, [close(v, t, k) for t, k in edits.items()]))).alias("word"))
+    near = [F.when(close(F.col("word"), t, k), F.lit(t)) for t, k in edits.items()]
     x = x.select(key, "len", "word", F.explode(F.array_compact(F.array(*near))).alias("term")).groupBy(key, "term", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     x = x.join(x.groupBy("term", "word").agg(F.count("*").alias("df")), ["term", "word"]).crossJoin(F.broadcast(n))  # one row
     return x.select(key, _weight(F.col("tf"), F.col("df"), F.col("len"), F.col("avg")).alias("score")).groupBy(key).agg((boost * F.sum("score")).alias("score"))
