@@ -14,6 +14,8 @@ from fathomline.operators import feedback as B
 from fathomline.operators import graph as G
 from fathomline.operators import search as S
 from fathomline.operators.index import page_index
+from fathomline.plans.parse import parse
+from fathomline.plans.planner import filters
 
 TERMS = ["harbour", "lantern"]
 _T = ", ".join(f"'{t}'" for t in TERMS)
@@ -60,7 +62,17 @@ def search_excluding(spark, sf):
 def search_filters(spark, sf):
     """Field filters alone: site, language, country, scheme, words of the url, dates."""
     d = pages(spark, sf, "url", "domain", "language", "country", "is_https", "crawled_at")
-    return d.where("domain = 'amberwick.example' and language = 'en' and is_https and country = 'US' and contains(url, 'notes') and crawled_at between timestamp_ntz'2024-01-15' and timestamp_ntz'2024-03-01'").select("id", "url")
+    q = parse("site:amberwick.example lang:en country:us inurl:notes has:https after:2024-01-15 before:2024-03-01")
+    return filters(d, q).select("id", "url")
+
+
+@query(f"""WITH {PAGES}, w AS (SELECT id, url, origin_peer_id AS o, {TOK.format("coalesce(title, '')")} AS t, {TOK.format("coalesce(content, '')")} AS c, {TOK.format("coalesce(description, '')")} AS d FROM p)
+ SELECT id FROM w WHERE list_contains(t, 'the') AND list_contains(c, 'river') AND (ends_with(lower(url), '.html') OR ends_with(lower(url), '.htm')) AND list_has_any(list_concat(t, c, d), ['harbour', 'lantern', 'bridge']) AND NOT list_has_any(list_concat(t, c, d), ['glacier']) AND coalesce(o, '') <> (SELECT coalesce(min(peer_id), '') FROM peers)""")
+def search_operators(spark, sf):
+    """Operators on words: in the title, in the text, file types, one of several, none of these, not of a peer."""
+    peer = table(spark, sf, "peers").agg(F.min("peer_id")).first()[0] or ""
+    q = parse(f"intitle:the intext:river filetype:html filetype:htm -peer:{peer} harbour OR lantern OR bridge -glacier")
+    return filters(pages(spark, sf, "url", "title", "description", "content", "origin_peer_id"), q).select("id")
 
 
 @query(f"WITH {PAGES}, v AS (SELECT unnest({TOK.format('title')}) AS term FROM p), c AS (SELECT term, count(*) AS n FROM v GROUP BY 1) SELECT term, n, CAST(levenshtein(term, 'lanturn') AS INTEGER) AS distance FROM c WHERE levenshtein(term, 'lanturn') <= 2")
