@@ -21,7 +21,7 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 #: Replaced rows that may be broadcast (16 bytes each).
 MOST_REPLACED = 2_000_000
-_REPLACED: dict[tuple, tuple[DataFrame, bool]] = {}
+_REPLACED: dict[tuple, tuple[str, bool]] = {}
 
 
 def table_state(spark: SparkSession, path: str) -> tuple:
@@ -32,21 +32,28 @@ def table_state(spark: SparkSession, path: str) -> tuple:
     return sc.applicationId, path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def replaced_rows(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """((_f, _r) of the rows of a docs table that a later row of their id replaces, whether they may be broadcast).
 
-    Only ids, times and the rows' places are read. The places are found once a
-    session for a table as it is now (its size and time tell) and checkpointed.
+    Only ids, times and the rows' places are read. The places are found once an
+    application for a table as it is now (its size and time tell) and written to the shared folder.
     """
     key = table_state(spark, path)
-    if key not in _REPLACED:
-        shared_checkpoints(spark)
+    if key not in _REPLACED or not exists(spark, _REPLACED[key][0]):
         d = spark.read.parquet(path).where("id is not null")
         d = d.select("id", F.struct("crawled_at", "indexed_at", "quality_score", *_place()).alias("at"))
         best = d.groupBy("id").agg(F.max("at").alias("best"), F.count("*").alias("n")).where("n > 1").select("id", "best")
-        gone = d.join(best, "id").where("at._f <> best._f or at._r <> best._r").select("at._f", "at._r").checkpoint()
-        _REPLACED[key] = gone, gone.count() <= MOST_REPLACED
-    return _REPLACED[key]
+        gone = d.join(best, "id").where("at._f <> best._f or at._r <> best._r").select("at._f", "at._r")
+        folder = shared_folder(spark)
+        gone.write.parquet(folder)
+        _REPLACED[key] = folder, spark.read.parquet(folder).count() <= MOST_REPLACED
+    folder, small = _REPLACED[key]
+    return spark.read.schema("_f bigint, _r bigint").parquet(folder), small
 
 
 def _place() -> list[Column]:

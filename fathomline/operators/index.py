@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import urls
 from fathomline.functions.text import tokens
-from fathomline.io import pages, shared_folder, table_state
+from fathomline.io import exists, pages, shared_folder, table_state
 from fathomline.operators.search import _weight
 
 BUCKETS = 64
@@ -74,7 +74,7 @@ class Index:
 def page_index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the pages of a docs table, written once an application for the table as it is."""
     key = table_state(spark, f"{sf_dir}/docs.parquet")
-    if key not in _BUILT:
+    if key not in _BUILT or not exists(spark, f"{_BUILT[key].folder}/postings/_SUCCESS"):
         d = pages(spark, sf_dir, "title", "description", "content", "url").withColumn("url_text", urls.url_text(F.col("url")))
         _BUILT[key] = Index.build(d, shared_folder(spark))
     return _BUILT[key]

@@ -54,6 +54,19 @@ def test_pages_are_the_latest_rows_also_when_too_many_are_replaced(spark, sf, mo
     io._REPLACED.clear()
 
 
+def test_pages_and_index_survive_a_cleared_folder(spark, sf):
+    import shutil
+
+    from fathomline.operators import index as I
+
+    n, hits = io.pages(spark, sf).count(), I.page_index(spark, sf).search(["the"]).count()
+    for folder, _ in io._REPLACED.values():
+        shutil.rmtree(folder.removeprefix("file:"))
+    for x in I._BUILT.values():
+        shutil.rmtree(x.folder.removeprefix("file:"))
+    assert io.pages(spark, sf).count() == n and I.page_index(spark, sf).search(["the"]).count() == hits
+
+
 def test_filters_reach_the_scan(spark, sf):
     d = io.pages(spark, sf, "content", "domain").where("domain = 'x'")
     assert "EqualTo(domain,x)" in d._jdf.queryExecution().toString()
@@ -148,6 +161,20 @@ def test_instant_answers_and_numbers():
     assert [answer(q, now) for q in (None, "", "lamp", "2024", "(1+2", "1 km to lbs", "days until never", "sqrt -1", "1+", "9^9^9^9")] == [None] * 10
 
 
+def test_ranking_invariants(spark):
+    page = "id string, title string, description string, content string"
+    rows = [("title", "brass lantern", "", "notes on lamps"), ("body", "notes", "", "a brass lantern on a lamp"), ("row", "x", "", "an old brass lantern hangs here"), ("apart", "x", "", "an old lantern of brass hangs here")]
+    d = spark.createDataFrame(rows, page)
+    order = [r["id"] for r in plan(d, parse("brass lantern")).collect()]
+    assert order[0] == "title" and order.index("row") < order.index("apart")
+    one = spark.createDataFrame([(0.9, 0.1), (0.2, 0.9)], "static double, spam double")
+    got = [r[0] for r in one.select(S.final_score(F.lit(1.0), F.col("static") * (1 - 0.8 * F.col("spam")), F.lit(0.5))).collect()]
+    assert got[0] > got[1]  # clean before spam
+    f = spark.createDataFrame([("2024-05-31",), ("2023-06-01",), (None,)], "at string").select(S.fresh(F.col("at").cast("timestamp"), F.lit("2024-06-01").cast("timestamp"), F.lit(90.0)).alias("f"))
+    a, b, none = (r["f"] for r in f.collect())
+    assert a > b and none == 0.5  # fresh before old
+
+
 def test_related_and_page_windows():
     assert assist.related_searches(["car", "repair"], ["auto", "vehicle", "auto", "motor", "van"], ["a", "b", "c", "d"], "car repair") == ["auto repair", "vehicle repair", "motor repair", "a", "b", "c"]
     assert assist.page_window(0, 0) == (0, 10, 100) and assist.page_window(3, 80) == (100, 50, 350) and assist.page_window(999, 50) == (49_900, 50, 5000)
