@@ -402,6 +402,15 @@ def test_line_states(spark, model):
     assert line_states.text_statistics(d.limit(0), model[2]).count() == 0
 
 
+def test_prose_of_every_sample_language_is_prose(spark, sf, model):
+    from fathomline.llm.common import table
+
+    m = line_states.LineStates(*model[2])
+    for r in table(spark, sf, "lang_samples").where("text is not null").groupBy("lang").agg(F.collect_list("text").alias("ts")).collect():
+        t = "\n".join(r["ts"])  # sentences a line
+        assert m.kind(t, m.shares(t)) is None, r["lang"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(name, spark, sf):
     import glob
