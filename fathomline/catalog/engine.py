@@ -86,10 +86,10 @@ def stream_hourly_counts(spark, sf):
 
 @query("SELECT CAST(count(DISTINCT event_id) AS BIGINT) AS events FROM search_clicks WHERE ts IS NOT NULL")
 def stream_first_seen(spark, sf):
-    """Events of a stream, each id once within its time to live."""
+    """Events of a stream, each id once, however late it comes again and in whatever batch."""
     s = table(spark, sf, "search_clicks").schema
     e = jobs.read(spark, sf, "search_clicks.parquet", s).where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_once(jobs.first_seen(e, "ts", "event_id", "7 days").select("event_id")).agg(F.count("*").alias("events"))
+    return jobs.run_once(jobs.first_seen(e, "ts", "event_id", None).select("event_id")).agg(F.count("*").alias("events"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)

@@ -9,19 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.io import shared_checkpoints
+from fathomline.io import is_folder, make_folder, shared_checkpoints
 
 
 def read(spark: SparkSession, folder: str, name: str, schema: T.StructType, files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").option("maxFilesPerTrigger", files).parquet(folder)
+    """A stream over a stored table, which is a file or a folder of files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if is_folder(spark, f"{folder}/{name}"):
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", f"{name}*").parquet(folder)
 
 
 def hourly_counts(events: DataFrame, ts: str, *keys: str, late: str = "7 days") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), *keys).agg(F.count("*").alias("n"))
 
 
-def first_seen(events: DataFrame, ts: str, key: str, ttl: str = "7 days") -> DataFrame:
-    """Each key once within the time to live."""
+def first_seen(events: DataFrame, ts: str, key: str, ttl: str | None = "7 days") -> DataFrame:
+    """Each key once within the time to live; once at all, however late, without one (the state then holds every key)."""
+    if ttl is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
@@ -91,6 +97,7 @@ def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).foreachBatch(batch_writer(f"{base}/out", mode == "complete")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    make_folder(spark, f"{base}/out")  # a stream without rows has written none
     return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 

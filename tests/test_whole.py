@@ -68,3 +68,34 @@ def test_plan_relaxes_only_when_nothing_is_found(spark):
     rows = [("a", "", "", "lantern"), ("b", "", "", "the blue door"), ("c", "", "", "harbour")]
     assert set(planned(spark, rows, "lantern harbour")) == {"a", "c"}
     assert set(planned(spark, rows, 'lantern harbour "blue door"')) == {"b"}
+
+
+@pytest.mark.parametrize("files", [0, 1, 120])
+def test_streams_read_a_table_in_a_folder_of_files(spark, tmp_path, files):
+    """Also more files than a batch takes, of which the first is the latest by days."""
+    import datetime
+    import os
+
+    from fathomline.io import table
+    from fathomline.streaming import jobs
+
+    rows = [(k // 2, datetime.datetime(2024, 6, 1) - datetime.timedelta(days=k), f"a{k % 3}") for k in range(240)]
+    folder = tmp_path / "search_clicks.parquet"
+    schema = "event_id long, ts timestamp_ntz, action_kind string"
+    if files:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        folder.mkdir()
+        for n in range(files):
+            part = rows[n * len(rows) // files : (n + 1) * len(rows) // files]
+            pq.write_table(pa.table({"event_id": [r[0] for r in part], "ts": pa.array([r[1] for r in part], pa.timestamp("us")), "action_kind": [r[2] for r in part]}), folder / f"part-{n:05}.parquet")
+            os.utime(folder / f"part-{n:05}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    else:
+        spark.createDataFrame([], schema).write.parquet(str(folder))
+    assert catalog.QUERIES["stream_first_seen"](spark, str(tmp_path)).first()["events"] == (120 if files else 0)
+    hours = catalog.QUERIES["stream_hourly_counts"](spark, str(tmp_path))
+    assert sorted(map(tuple, hours.collect())) == (sorted((t, a, 1) for _, t, a in rows) if files else [])
+    # every row as its own user: the rate limits see each message of the folder
+    limited = jobs.limited(jobs.read(spark, str(tmp_path), "search_clicks.parquet", table(spark, str(tmp_path), "search_clicks").schema), "event_id", "ts", late="1000 days")
+    assert sum(r["accepted"] for r in jobs.run_once(limited, "update").collect()) == (240 if files else 0)
