@@ -4,8 +4,10 @@ Every line (long ones in stretches) gets a label prose, list, table or junk from
 a hidden Markov model. A line is observed by its statistics, each in a few
 classes (``observe``). Emissions begin with lines of known states: the sample
 texts for prose, and lists, tables and junk drawn by rule from the sample's
-words (``drawn_lines``); then emissions and transitions are fitted to a bounded
-sample of documents by Baum-Welch. The Viterbi path gives the labels. Label
+words (``drawn_lines``); then emissions and transitions are fitted to all lines
+of all documents by Baum-Welch: observations are made and written once, as one
+number a line, and each round sums expected counts over them. The Viterbi path
+gives the labels. Label
 shares are aggregated per document beside word count, mean word length, symbol
 ratio, share of lines that end in punctuation and share of common words.
 
@@ -19,16 +21,17 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from operator import mul
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.io import shared_folder
 from fathomline.llm.common import table
 from fathomline.llm.keyword_spam import FUNCTION_WORDS
 
-SAMPLES = 5_000
-#: Documents and rounds of the fit, stretches of a document used in it.
-FIT_DOCUMENTS, FIT_ROUNDS, FIT_LENGTH = 3_000, 8, 60
+#: Rounds of the fit.
+FIT_ROUNDS = 8
 #: Weight of the drawn lines beside the documents.
 PRIOR = 0.8
 STATES = ("prose", "list", "table", "junk")
@@ -49,14 +52,15 @@ _CODED = re.compile(r"[A-Za-z0-9+/=_%-]{32,}")
 _RULE = re.compile(r"^[-|:+=_ ]+$")
 _LATIN = re.compile(r"[a-zà-öø-ÿ]{3,}")
 _DIGIT = re.compile(r"\d")
-_SPACES = re.compile(r"\s+")
 _ALNUM = frozenset(c for c in map(chr, range(128)) if c.isalnum())
 _GAPS = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_MARKS = {i: None for i in range(128) if chr(i).isalnum() or chr(i).isspace()}
 _PLAIN = frozenset(c for c in map(chr, range(128)) if c.isalnum() or c.isspace())
 #: Signs of scripts that set no blanks between words.
 _DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 #: Letters beyond the Latin scripts; their function words aren't known (a class of its own).
-_BEYOND = re.compile("[^\\W\\d_\u0000-\u0370]")
+_BEYOND = re.compile("[^\\W\\d_\u0000-\u0370]+")
 
 
 class Odd(dict):
@@ -81,6 +85,25 @@ class Odd(dict):
         return got
 
 
+class Told(dict):
+    """Lower-cased ASCII word -> what it adds to the counts of a stretch, one number: function words, runs of three letters or more, odd ones among these, letters, common words; remembers."""
+
+    def __init__(self, odd: Odd, common: frozenset[str]):
+        self.odd, self.common = odd, common
+
+    def __missing__(self, word: str) -> int:
+        runs = _LATIN.findall(word)
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = got = (word in FUNCTION_WORDS) | len(runs) << 16 | sum([self.odd[r] for r in runs]) << 32 | len(word) << 48 | (word in self.common) << 64
+        return got
+
+    def counts(self, words: list[str]) -> tuple[int, int, int, int, int]:
+        """Of the words of a stretch, of which each count is below 65,536."""
+        v = sum(map(self.__getitem__, words))
+        return v & 65535, v >> 16 & 65535, v >> 32 & 65535, v >> 48 & 65535, v >> 64
+
+
 #: Classes of each observed statistic.
 SIZES = (6, 6, 2, 2, 6, 8, 4, 4, 2, 3, 3, 2, 3, 4, 4, 2, 3)
 
@@ -126,39 +149,44 @@ class LineStates:
 
     def __init__(self, samples: list[str], common, start=None, moves=None, emissions=None):
         self.odd, self.common = Odd(samples), frozenset(common)
+        self.told = Told(self.odd, self.common)
         self.start, self.moves, self.emissions = start, moves, emissions
 
-    def observe(self, x: str, ws: list[str] | None = None) -> tuple[int, ...]:
-        """Classes of the statistics of a non-blank stretch, in the order of SIZES; ws are its lower-cased words where they are known."""
-        n, low, plain, digits = len(x), x.lower(), x.isascii(), _DIGIT.search(x) is not None
+    def observe(self, x: str, ws: list[str] | None = None, counts: tuple | None = None) -> tuple[int, ...]:
+        """Classes of the statistics of a non-blank stretch, in the order of SIZES; ws are its lower-cased words where they are known, and counts those of ASCII words."""
+        n, plain, digits = len(x), x.isascii(), _DIGIT.search(x) is not None
         if ws is None:
-            ws = text_words(low)
+            ws = text_words(x.lower())
         k = len(ws)
-        if not plain:
+        alpha = odd = 0.0
+        if plain:
+            fn, runs, odds, letters, _ = counts or self.told.counts(ws)
+            if runs >= 3:
+                odd = odds / runs
+        else:
             k += len(_DENSE.findall(x)) // 2  # scripts without blanks: two signs a word
-        letters = sum(map(len, ws))
+            fn, letters = sum(map(FUNCTION_WORDS.__contains__, ws)), sum(map(len, ws))
+            alpha = sum(map(len, _BEYOND.findall(x))) / n
+            if alpha <= 0.5:
+                latin = _LATIN.findall(x.lower())
+                if len(latin) >= 3:
+                    odd = sum(map(self.odd.__getitem__, latin)) / len(latin)
         symbols = 1.0 - (letters + x.count(" ")) / n
-        fn = sum(map(FUNCTION_WORDS.__contains__, ws)) / len(ws) if ws else 0.0
+        fn = fn / len(ws) if ws else 0.0
         divided, numbers = _cells(x, k)
-        alpha = 0.0 if plain else len(_BEYOND.findall(x)) / n
-        odd = 0.0
-        if alpha <= 0.5:
-            latin = [w for w in ws if len(w) >= 3] if plain and not digits else _LATIN.findall(low)
-            if len(latin) >= 3:
-                odd = sum(map(self.odd.__getitem__, latin)) / len(latin)
         broken = 0 if plain else len(_MOJIBAKE.findall(x))
         marked = sum(map(len, _MARKUP.findall(x))) / n if "<" in x or "&" in x or "{" in x else 0.0
         coded = 0
         if n >= 32 and "://" not in x and 2 * sum(map(len, _CODED.findall(x))) > n:
             coded = 2
-        elif digits and _HEX.match(x) and not x.isdigit() and _LATIN.search(low):
+        elif digits and _HEX.match(x) and not x.isdigit() and _LATIN.search(x.lower()):
             coded = 1
-        marks = set(x) - _PLAIN
+        marks = set(x.translate(_MARKS)) if plain else [c for c in set(x) - _PLAIN if not (c.isalnum() or c.isspace())]
         return (
             bisect_right((0.01, 0.08, 0.14, 0.2), fn) if alpha <= 0.5 else 5, bisect_right((1, 3, 5, 9, 15), k), int(not x[-1].isalnum() and _END.search(x) is not None), int((not x[0].isalpha() or x[1:2] in ".)") and _ITEM.match(x) is not None),
             bisect_right((0.06, 0.1, 0.15, 0.25, 0.35), symbols), divided, bisect_right((0.01, 0.2, 0.6), numbers), bisect_right((0.3, 0.55, 0.75), letters / n), int(alpha > 0.5),
             2 if broken * 12 > n or broken >= 4 and broken * 25 > n else int(broken > 1), bisect_right((0.02, 0.5), marked), int(fn < 0.2 and (digits or "[" in x or "=" in x) and _LOG.search(x) is not None), coded,
-            bisect_right((0.01, 0.3, 0.5), odd), 0 if len(ws) < 10 else bisect_right((0.0, 0.4, 0.75), 1 - len(set(ws)) / len(ws)), int(x[-1] == ")" and _COUNT.search(x) is not None), bisect_right((4, 8), len(marks if plain else [c for c in marks if not (c.isalnum() or c.isspace())])),
+            bisect_right((0.01, 0.3, 0.5), odd), 0 if len(ws) < 10 else bisect_right((0.0, 0.4, 0.75), 1 - len(set(ws)) / len(ws)), int(x[-1] == ")" and _COUNT.search(x) is not None), bisect_right((4, 8), len(marks)),
         )
 
     def scores(self, seen):
@@ -168,21 +196,27 @@ class LineStates:
         return self.emissions[np.arange(len(SIZES))[None, :], np.array(seen)].sum(axis=1)
 
     @staticmethod
-    def stretches(line: str) -> list[str]:
+    def cut(line: str) -> tuple[list[str], bool]:
+        """(stretches of a line, whether all cuts are at blanks)."""
         x = line.strip()
         if len(x) <= 2 * STRETCH:
-            return [x] if x else []
-        out, at = [], 0
+            return [x] if x else [], True
+        out, at, clean = [], 0, True
         while at < len(x):
             end = at + STRETCH
             if end < len(x):
                 cut = x.find(" ", end, end + 60)
+                clean &= cut > 0
                 end = cut if cut > 0 else end
             piece = x[at:end].strip()
             if piece:
                 out.append(piece)
             at = end
-        return out
+        return out, clean
+
+    @classmethod
+    def stretches(cls, line: str) -> list[str]:
+        return cls.cut(line)[0]
 
     def path(self, seen) -> list[int]:
         """Viterbi path of observed stretches; ties go to the state first in STATES."""
@@ -215,30 +249,37 @@ class LineStates:
 
     def shares(self, text: str) -> list[float] | None:
         """Share of the non-blank characters in each state."""
-        return self.measure(text)[1]
+        sums = [0, 0, 0, 0]
+        for x, s in self.labels(text):
+            sums[s] += len(x) - x.count(" ")
+        total = sum(sums)
+        return [v / total for v in sums] if total else None
 
-    def measure(self, text: str) -> tuple[tuple, list[float] | None]:
-        """((words, mean word length, symbol ratio, end punctuation share, common share), shares): one pass over the lines."""
+    def watch(self, text: str) -> tuple[tuple, list[int], list[int]]:
+        """((words, mean word length, symbol ratio, end punctuation share, common share), numbered observations, non-blank characters of each stretch): one pass over the lines."""
         words = letters = common = lines = ends = 0
-        xs, seen = [], []
+        codes, sizes = [], []
         for line in text.split("\n"):
             x = line.strip()
             if not x:
                 continue
-            found = text_words(x)
-            low = list(map(str.lower, found))
-            words, letters, common = words + len(found), letters + sum(map(len, found)), common + sum(map(self.common.__contains__, low))
             lines, ends = lines + 1, ends + (not x[-1].isalnum() and _END.search(x) is not None)
-            parts = self.stretches(x)
-            xs += parts
-            seen += [self.observe(x, low)] if len(parts) == 1 else map(self.observe, parts)
-        solid = len(text) - sum(map(len, _SPACES.findall(text)))
-        stats = (words, letters / words if words else None, (solid - letters) / solid if solid else None, ends / lines if lines else None, common / words if words else None)
-        sums = [0, 0, 0, 0]
-        for x, s in zip(xs, self.path(seen)):
-            sums[s] += len(x) - x.count(" ")
-        total = sum(sums)
-        return stats, [v / total for v in sums] if total else None
+            parts, clean = self.cut(x)
+            for p in parts if clean else (*parts, x):  # a cut within a word: the words are those of the line
+                if p.isascii():
+                    low = text_words(p.lower())
+                    counts = self.told.counts(low) if p is not x or len(parts) == 1 else (0, 0, 0, sum(map(len, low)), sum(map(self.common.__contains__, low)))
+                else:
+                    found = text_words(p)
+                    low = list(map(str.lower, found))
+                    counts = 0, 0, 0, sum(map(len, found)), sum(map(self.common.__contains__, low))
+                if clean or p is x:
+                    words, letters, common = words + len(low), letters + counts[3], common + counts[4]
+                if clean or p is not x:
+                    codes.append(code(self.observe(p, low, counts)))
+                    sizes.append(len(p) - p.count(" "))
+        solid = len(text) - sum(map(text.count, _BLANKS))
+        return (words, letters / words if words else None, (solid - letters) / solid if solid else None, ends / lines if lines else None, common / words if words else None), codes, sizes
 
     def kind(self, text: str | None, shares: list[float] | None) -> str | None:
         if text is None or len(text) < MIN_CHARS or shares is None or 1.0 - shares[0] <= 0.5:
@@ -283,8 +324,132 @@ def drawn_lines(samples: list[str], seed: int = 11, each: int = 60) -> list[tupl
     return [(x.strip(), s) for x, s in out if x.strip()]
 
 
-def fit_chain(model: LineStates, drawn: list[tuple[str, int]], documents: list[str], rounds: int = FIT_ROUNDS):
-    """(start, moves, emissions) in logs: counts of the drawn lines, then Baum-Welch over the documents with those as prior."""
+#: Places of the statistics in the number that stands for an observation, below 2**31.
+PLACES = tuple(math.prod(SIZES[:i]) for i in range(len(SIZES)))
+
+
+def code(seen: tuple[int, ...]) -> int:
+    """The number of an observation."""
+    return sum(map(mul, seen, PLACES))
+
+
+def _digits(codes):
+    """(observations, statistics) classes of numbered observations."""
+    import numpy as np
+
+    return codes[:, None] // np.array(PLACES) % np.array(SIZES)
+
+
+#: Stretches that are held at once in the forward, backward and Viterbi passes, unless one text has more.
+BLOCK = 200_000
+
+
+def _blocks(lengths):
+    """Places of texts that have stretches, in blocks of like length."""
+    import numpy as np
+
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * lengths[order[end]] <= BLOCK:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def _laid_out(offsets, lengths, which):
+    """(live, at), both (longest, texts): whether a text has a stretch there, and its place in the column."""
+    import numpy as np
+
+    steps = np.arange(lengths[which].max())[:, None]
+    live = steps < lengths[which][None, :]
+    return live, np.where(live, offsets[which][None, :] + steps, offsets[which][None, :])
+
+
+def _parts(column):
+    """(values, offsets, lengths) of an Arrow column of lists without nulls."""
+    import numpy as np
+
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(), offsets[:-1], np.diff(offsets)
+
+
+def expected_counts(codes, offsets, lengths, start, moves, emissions):
+    """One vector: texts, first states, moves between states, and states by class of each statistic, expected by forward and backward passes."""
+    import numpy as np
+
+    k, f, most = len(STATES), len(SIZES), max(SIZES)
+    known, which_code = np.unique(codes, return_inverse=True)
+    digits = _digits(known.astype(np.int64))
+    logs = emissions[np.arange(f), digits].sum(axis=1)
+    chance = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12
+    n, first, pairs, of_code = 0, np.zeros(k), np.zeros((k, k)), np.zeros((len(known), k))
+    for which in _blocks(lengths):
+        live, at = _laid_out(offsets, lengths, which)
+        longest, n = len(live), n + len(which)
+        place = which_code[at]
+        b = chance[place]
+        b[~live] = 1.0
+        alpha, scale = np.empty_like(b), np.ones(live.shape)
+        a = start * b[0]
+        for t in range(longest):
+            if t:
+                a = np.where(live[t][:, None], (a @ moves) * b[t], a)
+            scale[t] = a.sum(axis=1)
+            a = a / scale[t][:, None]
+            alpha[t] = a
+        beta = np.ones_like(b)
+        for t in range(longest - 2, -1, -1):
+            on = live[t + 1]
+            nxt = b[t + 1] * beta[t + 1] / scale[t + 1][:, None]
+            beta[t] = np.where(on[:, None], nxt @ moves.T, 1.0)
+            pairs += alpha[t][on].T @ nxt[on] * moves
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=2, keepdims=True)
+        first += gamma[0].sum(axis=0)
+        flat, own = gamma[live], place[live]
+        for s in range(k):
+            of_code[:, s] += np.bincount(own, weights=flat[:, s], minlength=len(known))
+    counts = np.zeros((f, most, k))
+    for i in range(f):
+        for s in range(k):
+            counts[i, :, s] = np.bincount(digits[:, i], weights=of_code[:, s], minlength=most)
+    return np.concatenate([[n], first, pairs.ravel(), counts.ravel()])
+
+
+def best_states(codes, offsets, lengths, start, moves, emissions):
+    """The state of every stretch on the Viterbi paths; ties go to the state first in STATES."""
+    import numpy as np
+
+    known, which_code = np.unique(codes, return_inverse=True)
+    logs = emissions[np.arange(len(SIZES)), _digits(known.astype(np.int64))].sum(axis=1)
+    out = np.zeros(len(codes), np.int8)
+    for which in _blocks(lengths):
+        live, at = _laid_out(offsets, lengths, which)
+        b = logs[which_code[at]]
+        back = np.zeros(b.shape, np.int8)
+        best = start + b[0]
+        for t in range(1, len(live)):
+            ways = best[:, :, None] + moves  # from, into
+            step = ways.argmax(axis=1)
+            new = np.take_along_axis(ways, step[:, None, :], 1)[:, 0] + b[t]
+            on = live[t][:, None]
+            back[t] = np.where(on, step, np.arange(len(STATES)))  # beyond its end a text stays where it is
+            best = np.where(on, new, best)
+        s, every = best.argmax(axis=1), np.arange(len(which))
+        for t in range(len(live) - 1, -1, -1):
+            out[at[t][live[t]]] = s[live[t]]
+            s = back[t][every, s]
+    return out
+
+
+def fit_chain(model: LineStates, drawn: list[tuple[str, int]], expect, rounds: int = FIT_ROUNDS):
+    """(start, moves, emissions) in logs: counts of the drawn lines, then Baum-Welch with those as prior.
+
+    expect gives the expected counts of all texts (``expected_counts``, summed) under a chain.
+    """
     import numpy as np
 
     k, f, most = len(STATES), len(SIZES), max(SIZES)
@@ -294,11 +459,6 @@ def fit_chain(model: LineStates, drawn: list[tuple[str, int]], documents: list[s
             prior[i, v, s] += 1.0
     prior /= np.maximum(prior[0].sum(axis=0), 1.0)  # each state weighs the same
     valid = np.arange(most)[None, :] < np.array(SIZES)[:, None]
-    seqs = []
-    for t in documents:
-        xs = [p for line in t.split("\n") for p in model.stretches(line)][:FIT_LENGTH]
-        if xs:
-            seqs.append([model.observe(x) for x in xs])
     floor = 1e-3 * valid[:, :, None]
 
     def normal(e):
@@ -306,91 +466,125 @@ def fit_chain(model: LineStates, drawn: list[tuple[str, int]], documents: list[s
         return np.log(np.where(valid[:, :, None], e / e.sum(axis=1, keepdims=True), 1.0))
 
     start, moves, emissions = np.full(k, 1 / k), np.full((k, k), 0.04) + np.eye(k) * 0.84, normal(prior)
-    if not seqs:
-        return np.log(start), np.log(moves), emissions
-    longest = max(map(len, seqs))
-    n = len(seqs)
-    obs = np.zeros((n, longest, f), np.int64)
-    live = np.zeros((n, longest), bool)
-    for i, q in enumerate(seqs):
-        obs[i, : len(q)], live[i, : len(q)] = q, True
     for _ in range(rounds):
-        b = emissions[np.arange(f), obs].sum(axis=2)
-        b = np.exp(b - b.max(axis=2, keepdims=True)) + 1e-12
-        b[~live] = 1.0
-        alpha, scale = np.zeros((n, longest, k)), np.ones((n, longest))
-        a = start * b[:, 0]
-        for t in range(longest):
-            if t:
-                a = np.where(live[:, t, None], (a @ moves) * b[:, t], a)
-            scale[:, t] = a.sum(axis=1)
-            a = a / scale[:, t, None]
-            alpha[:, t] = a
-        beta = np.ones((n, longest, k))
-        pairs = np.zeros((k, k))
-        for t in range(longest - 2, -1, -1):
-            on = live[:, t + 1]
-            nxt = b[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
-            beta[:, t] = np.where(on[:, None], nxt @ moves.T, 1.0)
-            pairs += np.einsum("ni,nj->ij", alpha[on, t], nxt[on]) * moves
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=2, keepdims=True)
-        gamma[~live] = 0.0
-        start = (gamma[:, 0].sum(axis=0) + 1.0) / (n + k)
-        moves = pairs + 1.0
+        n, first, pairs, counts = np.split(expect(start, moves, emissions), (1, 1 + k, 1 + k + k * k))
+        if not n[0]:
+            break
+        start = (first + 1.0) / (n[0] + k)
+        moves = pairs.reshape(k, k) + 1.0
         moves /= moves.sum(axis=1, keepdims=True)
-        flat, counts = gamma[live], np.zeros((f, most, k))
-        seen = obs[live]
-        for i in range(f):
-            for s in range(k):
-                counts[i, :, s] = np.bincount(seen[:, i], weights=flat[:, s], minlength=most)
-        mass = counts[0].sum(axis=0)
-        emissions = normal((counts / np.maximum(mass, 1.0)) * (1 - PRIOR) + prior * PRIOR)
+        counts = counts.reshape(f, most, k)
+        emissions = normal((counts / np.maximum(counts[0].sum(axis=0), 1.0)) * (1 - PRIOR) + prior * PRIOR)
     return np.log(start), np.log(moves), emissions
 
 
-def fitted(spark, sf_dir: str):
-    """(sample texts, common words, start, moves, emissions): everything that LineStates takes, fitted on bounded samples."""
-    texts = [r[0] for r in table(spark, sf_dir, "lang_samples").where("text is not null").orderBy("sample_id").limit(SAMPLES).select("text").collect()]
-    words = [r[0].lower() for r in table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().orderBy("word").limit(SAMPLES).collect()]
-    d = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null")
-    n = d.count()
-    if n > FIT_DOCUMENTS:
-        d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(FIT_DOCUMENTS / n * (1 << 40)))
-    rows = sorted((r[0], r[1]) for r in d.select(F.xxhash64("doc_id"), "text").collect())[: 2 * FIT_DOCUMENTS]
-    return texts, words, *fit_chain(LineStates(texts, words), drawn_lines(texts), [t for _, t in rows])
-
-
 STATS = "words bigint, mean_word_length double, symbol_ratio double, end_punctuation_share double, common_share double, prose double, list double, table double, junk double, kind string"
+OBSERVED = "words bigint, mean_word_length double, symbol_ratio double, end_punctuation_share double, common_share double, chars bigint, codes array<int>, sizes array<int>"
 
 
-def text_statistics(documents: DataFrame, samples: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words, mean_word_length, symbol_ratio, end_punctuation_share, common_share, prose, list, table, junk, kind): one row per row."""
-    shared = documents.sparkSession.sparkContext.broadcast(samples)
+def observed(documents: DataFrame, texts: list[str], words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, the statistics that need no state, chars, codes, sizes): the numbered observation of each stretch and its non-blank characters; one row per row."""
+    shared = documents.sparkSession.sparkContext.broadcast((texts, words))
 
     def run(batches):
         import pyarrow as pa
 
-        model = LineStates(*shared.value)
-        types = [pa.int64(), *[pa.float64()] * 8, pa.string()]
+        watch = LineStates(*shared.value).watch
+        types = [pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for b in batches:
             cols: list[list] = [[] for _ in types]
             for t in b.column(1).to_pylist():
-                t = t or ""
-                stats, sh = model.measure(t)
-                row = [*stats, *(sh or [None] * 4), model.kind(t, sh)]
-                for c, v in zip(cols, row):
+                stats, codes, sizes = watch(t or "")
+                for c, v in zip(cols, (*stats, None if t is None else len(t), codes, sizes)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, ty) for c, ty in zip(cols, types))], ["k", *(x.split()[0] for x in STATS.split(", "))])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, ty) for c, ty in zip(cols, types))], ["k", *(x.split()[0] for x in OBSERVED.split(", "))])
 
     d = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return d.mapInArrow(run, f"k {d.schema['k'].dataType.simpleString()}, {STATS}").withColumnRenamed("k", key)
+    return d.mapInArrow(run, f"k {d.schema['k'].dataType.simpleString()}, {OBSERVED}")
 
 
-def p10_found(spark, sf_dir: str) -> DataFrame:
-    got = text_statistics(table(spark, sf_dir, "documents"), fitted(spark, sf_dir))
-    return got.where("kind is not null").select("doc_id", "kind")
+def fit_observed(seen: DataFrame, texts: list[str], words: list[str]):
+    """(start, moves, emissions) fitted on all stretches of all observed texts; what reaches the driver is one vector a task and round."""
+    import numpy as np
+
+    d = seen.where("chars is not null and k is not null").select("codes")
+    width = 1 + len(STATES) * (1 + len(STATES) + len(SIZES) * max(SIZES))
+
+    def expect(*chain):
+        shared = seen.sparkSession.sparkContext.broadcast(chain)
+
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(width)
+            for b in batches:
+                total += expected_counts(*_parts(b.column(0)), *shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["counts"])
+
+        return sum((np.array(r[0]) for r in d.mapInArrow(run, "counts array<double>").collect()), np.zeros(width))
+
+    return fit_chain(LineStates(texts, words), drawn_lines(texts), expect)
+
+
+def labelled(seen: DataFrame, chain: tuple, key: str = "doc_id") -> DataFrame:
+    """The statistics of observed texts with the shares and the kind that follow from the Viterbi paths."""
+    shared = seen.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        k = len(STATES)
+        for b in batches:
+            codes, offsets, lengths = _parts(b.column("codes"))
+            sizes, _, _ = _parts(b.column("sizes"))
+            own = np.repeat(np.arange(len(lengths)), lengths)
+            first = offsets[0] if len(offsets) else 0
+            states = best_states(codes[first : first + len(own)], offsets - first, lengths, *shared.value)
+            sums = np.bincount(own * k + states, weights=sizes[: len(own)], minlength=len(lengths) * k).reshape(-1, k)
+            total = sums.sum(axis=1)
+            none = total == 0
+            shares = sums / np.maximum(total, 1)[:, None]
+            chars = b.column("chars").fill_null(0).to_numpy(zero_copy_only=False)
+            case = ~none & (chars >= MIN_CHARS) & (1.0 - shares[:, 0] > 0.5)
+            kinds = [STATES[s] if c else None for s, c in zip(shares[:, 1:].argmax(axis=1) + 1, case)]
+            columns = [b.column(i) for i in range(6)] + [pa.array(shares[:, s], pa.float64(), mask=none) for s in range(k)] + [pa.array(kinds, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", *(x.split()[0] for x in STATS.split(", "))])
+
+    return seen.mapInArrow(run, f"k {seen.schema['k'].dataType.simpleString()}, {STATS}").withColumnRenamed("k", key)
+
+
+def references(spark, sf_dir: str) -> tuple[list[str], list[str]]:
+    """(sample texts, common words), all of them."""
+    texts = [r[0] for r in table(spark, sf_dir, "lang_samples").where("text is not null").orderBy("sample_id").select("text").collect()]
+    words = [r[0].lower() for r in table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().orderBy("word").collect()]
+    return texts, words
+
+
+def stored_observations(spark, sf_dir: str, texts: list[str], words: list[str]) -> DataFrame:
+    """The observations of all documents, written once: lines are looked at in one pass, whatever the rounds of the fit."""
+    folder = shared_folder(spark)
+    seen = observed(table(spark, sf_dir, "documents"), texts, words)
+    seen.write.parquet(folder)
+    return spark.read.schema(seen.schema).parquet(folder)
+
+
+def fitted(spark, sf_dir: str):
+    """(sample texts, common words, start, moves, emissions): everything that LineStates takes, fitted on all documents."""
+    texts, words = references(spark, sf_dir)
+    return texts, words, *fit_observed(stored_observations(spark, sf_dir, texts, words), texts, words)
+
+
+def text_statistics(documents: DataFrame, samples: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, words, mean_word_length, symbol_ratio, end_punctuation_share, common_share, prose, list, table, junk, kind): one row per row."""
+    return labelled(observed(documents, *samples[:2], key, text), samples[2:], key)
 
 
 def p10_statistics(spark, sf_dir: str) -> DataFrame:
-    return text_statistics(table(spark, sf_dir, "documents"), fitted(spark, sf_dir))
+    texts, words = references(spark, sf_dir)
+    seen = stored_observations(spark, sf_dir, texts, words)
+    return labelled(seen, fit_observed(seen, texts, words))
+
+
+def p10_found(spark, sf_dir: str) -> DataFrame:
+    return p10_statistics(spark, sf_dir).where("kind is not null").select("doc_id", "kind")
