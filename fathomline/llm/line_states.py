@@ -373,7 +373,7 @@ def _parts(column):
     import numpy as np
 
     offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(), offsets[:-1], np.diff(offsets)
+    return column.flatten().to_numpy(), offsets[:-1] - offsets[0], np.diff(offsets)
 
 
 def expected_counts(codes, offsets, lengths, start, moves, emissions):
@@ -539,9 +539,8 @@ def labelled(seen: DataFrame, chain: tuple, key: str = "doc_id") -> DataFrame:
             codes, offsets, lengths = _parts(b.column("codes"))
             sizes, _, _ = _parts(b.column("sizes"))
             own = np.repeat(np.arange(len(lengths)), lengths)
-            first = offsets[0] if len(offsets) else 0
-            states = best_states(codes[first : first + len(own)], offsets - first, lengths, *shared.value)
-            sums = np.bincount(own * k + states, weights=sizes[: len(own)], minlength=len(lengths) * k).reshape(-1, k)
+            states = best_states(codes, offsets, lengths, *shared.value)
+            sums = np.bincount(own * k + states, weights=sizes, minlength=len(lengths) * k).reshape(-1, k)
             total = sums.sum(axis=1)
             none = total == 0
             shares = sums / np.maximum(total, 1)[:, None]
