@@ -47,7 +47,7 @@ _NUMERIC = re.compile(r"^[-+]?[\d.,]+%?$")
 _MOJIBAKE = re.compile("[ÂÃÐÑâåäæçèéï][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|�")
 _MARKUP = re.compile(r"</?[a-z][^<>]*>|&[a-z]+;|&#\d+;|\{[^{}]*:[^{}]*\}")
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[(?:INFO|WARN|ERR|ERROR|DEBUG|TRACE)\]|\b0x[0-9a-f]{4,}\b|\b\w+=\S+ \w+=\S+")
-_HEX = re.compile(r"^(?:[0-9a-f]{2,64}[\s:]*){4,}$", re.I)
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]{2,}")
 _CODED = re.compile(r"[A-Za-z0-9+/=_%-]{32,}")
 _RULE = re.compile(r"^[-|:+=_ ]+$")
 _LATIN = re.compile(r"[a-zà-öø-ÿ]{3,}")
@@ -63,6 +63,12 @@ _DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 _BEYOND = re.compile("[^\\W\\d_\u0000-\u0370]+")
 
 
+def _hex(x: str) -> bool:
+    """Whether a stretch is four or more groups of two or more hexadecimal digits, with blanks or colons between them or none; each sign is looked at once."""
+    runs = x.replace(":", " ").split()
+    return x[0] != ":" and all(map(_HEX_RUN.fullmatch, runs)) and sum([len(r) // 2 for r in runs]) >= 4
+
+
 class Odd(dict):
     """word -> whether a Latin word is unlike the sample words, by its mean log-chance under their letter pairs; remembers."""
 
@@ -179,7 +185,7 @@ class LineStates:
         coded = 0
         if n >= 32 and "://" not in x and 2 * sum(map(len, _CODED.findall(x))) > n:
             coded = 2
-        elif digits and _HEX.match(x) and not x.isdigit() and _LATIN.search(x.lower()):
+        elif digits and _hex(x) and not x.isdigit() and _LATIN.search(x.lower()):
             coded = 1
         marks = set(x.translate(_MARKS)) if plain else [c for c in set(x) - _PLAIN if not (c.isalnum() or c.isspace())]
         return (
@@ -345,27 +351,28 @@ BLOCK = 200_000
 
 
 def _blocks(lengths):
-    """Places of texts that have stretches, in blocks of like length."""
+    """Places of texts that have stretches, the shortest first, in blocks."""
     import numpy as np
 
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
-    at = 0
+    total, at = np.concatenate([[0], np.cumsum(lengths[order])]), 0
     while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * lengths[order[end]] <= BLOCK:
-            end += 1
+        end = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK, "right")) - 1)
         yield order[at:end]
         at = end
 
 
-def _laid_out(offsets, lengths, which):
-    """(live, at), both (longest, texts): whether a text has a stretch there, and its place in the column."""
+def _steps(offsets, lengths, which):
+    """(live, begins, at): at each step the texts that have a stretch there, always the last of the block; the places of a step's stretches in (step, text) order and, in that order, their places in the column."""
     import numpy as np
 
-    steps = np.arange(lengths[which].max())[:, None]
-    live = steps < lengths[which][None, :]
-    return live, np.where(live, offsets[which][None, :] + steps, offsets[which][None, :])
+    own = lengths[which]
+    live = len(own) - np.searchsorted(own, np.arange(own[-1]), "right")
+    begins = np.concatenate([[0], np.cumsum(live)])
+    step = np.repeat(np.arange(own[-1]), live)
+    at = offsets[which][np.arange(begins[-1]) - (begins[1:] - len(own))[step]] + step
+    return live.tolist(), begins.tolist(), at
 
 
 def _parts(column):
@@ -387,36 +394,35 @@ def expected_counts(codes, offsets, lengths, start, moves, emissions):
     chance = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12
     n, first, pairs, of_code = 0, np.zeros(k), np.zeros((k, k)), np.zeros((len(known), k))
     for which in _blocks(lengths):
-        live, at = _laid_out(offsets, lengths, which)
-        longest, n = len(live), n + len(which)
+        live, begins, at = _steps(offsets, lengths, which)
+        n += len(which)
         place = which_code[at]
         b = chance[place]
-        b[~live] = 1.0
-        alpha, scale = np.empty_like(b), np.ones(live.shape)
-        a = start * b[0]
-        for t in range(longest):
+        alpha, scale = np.empty_like(b), np.empty((len(b), 1))
+        a = start * b[: live[0]]
+        for t, m in enumerate(live):
+            now = slice(begins[t], begins[t + 1])
             if t:
-                a = np.where(live[t][:, None], (a @ moves) * b[t], a)
-            scale[t] = a.sum(axis=1)
-            a = a / scale[t][:, None]
-            alpha[t] = a
+                a = (a[-m:] @ moves) * b[now]
+            scale[now] = a.sum(axis=1, keepdims=True)
+            a = np.divide(a, scale[now], out=alpha[now])
+        b /= scale
         beta = np.ones_like(b)
-        for t in range(longest - 2, -1, -1):
-            on = live[t + 1]
-            nxt = b[t + 1] * beta[t + 1] / scale[t + 1][:, None]
-            beta[t] = np.where(on[:, None], nxt @ moves.T, 1.0)
-            pairs += alpha[t][on].T @ nxt[on] * moves
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=2, keepdims=True)
-        first += gamma[0].sum(axis=0)
-        flat, own = gamma[live], place[live]
+        for t in range(len(live) - 2, -1, -1):
+            nxt, own = slice(begins[t + 1], begins[t + 2]), slice(begins[t + 1] - live[t + 1], begins[t + 1])
+            step = b[nxt] * beta[nxt]
+            np.matmul(step, moves.T, out=beta[own])
+            pairs += alpha[own].T @ step
+        gamma = np.multiply(alpha, beta, out=beta)
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        first += gamma[: live[0]].sum(axis=0)
         for s in range(k):
-            of_code[:, s] += np.bincount(own, weights=flat[:, s], minlength=len(known))
+            of_code[:, s] += np.bincount(place, weights=gamma[:, s], minlength=len(known))
     counts = np.zeros((f, most, k))
     for i in range(f):
         for s in range(k):
             counts[i, :, s] = np.bincount(digits[:, i], weights=of_code[:, s], minlength=most)
-    return np.concatenate([[n], first, pairs.ravel(), counts.ravel()])
+    return np.concatenate([[n], first, (pairs * moves).ravel(), counts.ravel()])
 
 
 def best_states(codes, offsets, lengths, start, moves, emissions):
@@ -427,21 +433,20 @@ def best_states(codes, offsets, lengths, start, moves, emissions):
     logs = emissions[np.arange(len(SIZES)), _digits(known.astype(np.int64))].sum(axis=1)
     out = np.zeros(len(codes), np.int8)
     for which in _blocks(lengths):
-        live, at = _laid_out(offsets, lengths, which)
+        live, begins, at = _steps(offsets, lengths, which)
         b = logs[which_code[at]]
         back = np.zeros(b.shape, np.int8)
-        best = start + b[0]
-        for t in range(1, len(live)):
-            ways = best[:, :, None] + moves  # from, into
-            step = ways.argmax(axis=1)
-            new = np.take_along_axis(ways, step[:, None, :], 1)[:, 0] + b[t]
-            on = live[t][:, None]
-            back[t] = np.where(on, step, np.arange(len(STATES)))  # beyond its end a text stays where it is
-            best = np.where(on, new, best)
-        s, every = best.argmax(axis=1), np.arange(len(which))
+        best = start + b[: live[0]]
+        for t, m in enumerate(live[1:], 1):
+            now = slice(begins[t], begins[t + 1])
+            ways = best[-m:, :, None] + moves  # from, into
+            step = back[now] = ways.argmax(axis=1)
+            best[-m:] = np.take_along_axis(ways, step[:, None, :], 1)[:, 0] + b[now]
+        s = best.argmax(axis=1)  # of texts that have ended, at their end
         for t in range(len(live) - 1, -1, -1):
-            out[at[t][live[t]]] = s[live[t]]
-            s = back[t][every, s]
+            m, now = live[t], slice(begins[t], begins[t + 1])
+            out[at[now]] = s[-m:]
+            s[-m:] = back[now][np.arange(m), s[-m:]] if t else s[-m:]
     return out
 
 
@@ -484,20 +489,23 @@ OBSERVED = "words bigint, mean_word_length double, symbol_ratio double, end_punc
 
 def observed(documents: DataFrame, texts: list[str], words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, the statistics that need no state, chars, codes, sizes): the numbered observation of each stretch and its non-blank characters; one row per row."""
-    shared = documents.sparkSession.sparkContext.broadcast((texts, words))
+    shared = documents.sparkSession.sparkContext.broadcast(LineStates(texts, words))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        watch = LineStates(*shared.value).watch
-        types = [pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        from fathomline.llm.line_blocks import LineBlocks
+
+        blocks = LineBlocks(shared.value)
         for b in batches:
-            cols: list[list] = [[] for _ in types]
-            for t in b.column(1).to_pylist():
-                stats, codes, sizes = watch(t or "")
-                for c, v in zip(cols, (*stats, None if t is None else len(t), codes, sizes)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, ty) for c, ty in zip(cols, types))], ["k", *(x.split()[0] for x in OBSERVED.split(", "))])
+            ts = b.column(1).to_pylist()
+            stats, codes, sizes, counts = blocks.watch(ts)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (codes, sizes))
+            chars = pa.array([None if t is None else len(t) for t in ts], pa.int64())
+            columns = [b.column(0), pa.array(stats[0], pa.int64()), *(pa.array(v, pa.float64(), mask=np.isnan(v)) for v in stats[1:]), chars, *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k", *(x.split()[0] for x in OBSERVED.split(", "))])
 
     d = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return d.mapInArrow(run, f"k {d.schema['k'].dataType.simpleString()}, {OBSERVED}")
